@@ -1,6 +1,7 @@
 """Registered queries of this subpackage."""
 
+from lumenveil.llm.leakage import p7_found
 from lumenveil.llm.pii_groups import P3_SQL, p3_found
 
-QUERIES = {"p3_found": p3_found}
+QUERIES = {"p3_found": p3_found, "p7_found": p7_found}
 SQL: dict[str, str] = {"p3_found": P3_SQL}
