@@ -2,6 +2,7 @@
 
 from lumenveil.llm.leakage import p7_found
 from lumenveil.llm.pii_groups import P3_SQL, p3_found
+from lumenveil.llm.reading import p9_found, p9_levels, p9_profile
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found}
+QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile}
 SQL: dict[str, str] = {"p3_found": P3_SQL}
