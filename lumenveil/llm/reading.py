@@ -231,7 +231,7 @@ def agreed_levels(labels: DataFrame) -> DataFrame:
 
 def _terms() -> list[Column]:
     x = [F.log(F.col("coverage_rank").cast("double")), F.col("sentence_log"), F.col("hard_share")]
-    return [F.lit(1.0), *x, *[c * c for c in x]]
+    return [F.lit(1.0), *x, *[c * c for c in x], x[1] * x[2]]
 
 
 def calibrate(features: DataFrame, labels: DataFrame, rule: LevelRule) -> Column | None:
