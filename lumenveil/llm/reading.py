@@ -56,7 +56,20 @@ _TAGGED = re.compile(r"(?is)<(pre|code|table|script|style)\b.*?(?:</\1>|\Z)")
 _BREAK = re.compile(r"\n[ \t\r]*\n")
 _STRUCTURE = re.compile(r"(?:[-*+•–]\s|\(?\d{1,3}[.)]\s|\(?[a-z][.)]\s|\||#|>|=====|-----| {4}|\t)")
 _CODE = re.compile(r"[{};=<>]|\(\)|=>|::|^\s*(?:import|from|def|class|return|package|func|public|private|const|let|var)\b.*[;{:(\"']")
-_IDENTIFIER = re.compile(r"\S*(?:[0-9_/\\@`]|[a-z][A-Z]|\w[.:]\w)\S*")
+_IDENTIFIER = re.compile(r"[0-9_/\\@`]|[a-z][A-Z]|\w[.:]\w")
+
+
+class _PlainWords(dict):
+    """Remembers which words are identifiers, paths or numbers; forgets all when it holds 200,000."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        plain = self[word] = "" if _IDENTIFIER.search(word) else word
+        return plain
+
+
+_plain = _PlainWords()
 
 
 def prose(text: str) -> str:
@@ -80,7 +93,7 @@ def prose(text: str) -> str:
             lines.append(line)
         joined = " ".join(lines).strip()
         if joined.count(" ") >= 3:
-            kept.append(_IDENTIFIER.sub(" ", joined))
+            kept.append(" ".join([_plain[w] for w in joined.split()]))
     return "\n".join(kept)
 
 
