@@ -29,10 +29,10 @@ LABELS = ("hand", "generated", "minified", "vendored", "blob")
 #: P(label of child | label of directory): rows are the directory's label.
 COMPATIBILITY = (
     (0.86, 0.05, 0.03, 0.04, 0.02),
-    (0.34, 0.60, 0.02, 0.02, 0.02),
-    (0.34, 0.02, 0.60, 0.02, 0.02),
-    (0.34, 0.02, 0.02, 0.60, 0.02),
-    (0.34, 0.02, 0.02, 0.02, 0.60),
+    (0.45, 0.49, 0.02, 0.02, 0.02),
+    (0.45, 0.02, 0.49, 0.02, 0.02),
+    (0.45, 0.02, 0.02, 0.49, 0.02),
+    (0.45, 0.02, 0.02, 0.02, 0.49),
 )
 #: Prior log weight of a hand-written root.
 ROOT = (2.0, 0.0, 0.0, 0.0, 0.0)

@@ -30,7 +30,7 @@ class LevelRule:
     bound; documents that need rarer words go through a join); a sentence is hard when its words have more than
     ``hard_letters`` letters on average; a run of more than ``long_sentence`` words without a stop is read as
     sentences of ``piece`` words; documents with fewer than ``min_words`` words of prose get no level; below ``min_labels``
-    usable labels nothing is calibrated and all levels are null; a level of ``demanding`` or more counts as 4 or 5.
+    rated documents nothing is calibrated and all levels are null, below ``full_labels`` only coverage rank and hard share enter; a level of ``demanding`` or more counts as 4 or 5.
     """
 
     share: float = 0.6
@@ -39,7 +39,8 @@ class LevelRule:
     long_sentence: int = 45
     piece: int = 25
     min_words: int = 8
-    min_labels: int = 12
+    min_labels: int = 4
+    full_labels: int = 40
     demanding: float = 3.5
 
 
@@ -258,10 +259,12 @@ def calibrate(features: DataFrame, labels: DataFrame, rule: LevelRule) -> Column
     got = rows.agg(F.count("*").alias("n"), *sums).first()
     if got["n"] < rule.min_labels:
         return None
-    a = np.array([[got[f"a{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)])
-    b = np.array([got[f"b{i}"] for i in range(size)])
+    used = list(range(size)) if got["n"] >= rule.full_labels else [0, 1, 3]
+    terms = [terms[i] for i in used]
+    a = np.array([[got[f"a{min(i, j)}_{max(i, j)}"] for j in used] for i in used])
+    b = np.array([got[f"b{i}"] for i in used])
     scale = np.sqrt(np.diag(a)) + 1e-12
-    ridge = 1e-6 * np.eye(size)
+    ridge = 1e-6 * np.eye(len(used))
     weights = np.linalg.solve(a / np.outer(scale, scale) + ridge, b / scale) / scale
     level = F.lit(0.0)
     for weight, term in zip(weights.tolist(), terms):
