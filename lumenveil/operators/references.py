@@ -42,11 +42,22 @@ def orphan_references(
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(match)
-    some = refs.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in required]))
-    optional = [c for c in keys if c not in required]
+    # the caller's columns travel in one struct, so none of their names can clash with the operator's
+    own = [c for c in refs.columns if c.lower() != "why"]
+    inner = {c: f"k{i}" for i, c in enumerate(keys)}
+    some = refs.select(
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(f"`{at}`").cast("long").alias("at"), *[F.col(f"`{c}`").alias(k) for c, k in inner.items()]
+    ).where(reduce(lambda a, b: a & b, [F.col(inner[c]).isNotNull() for c in required]))
+    known = targets.select(
+        *[F.col(f"`{c}`").alias(k) for c, k in inner.items()],
+        F.coalesce(F.col(f"`{live_from}`").cast("long"), F.lit(-(1 << 62))).alias("lf"),
+        F.col(f"`{live_to}`").cast("long").alias("lt"),
+    )
+    optional = [inner[c] for c in keys if c not in required]
+    needed = [inner[c] for c in required]
     out: list[DataFrame] = []
     for mask in product([True, False], repeat=len(optional)):
-        on = required + [c for c, present in zip(optional, mask) if present]
+        on = needed + [c for c, present in zip(optional, mask) if present]
         rows = some
         for c, present in zip(optional, mask):
             rows = rows.where(F.col(c).isNotNull() if present else F.col(c).isNull())
@@ -54,32 +65,23 @@ def orphan_references(
             if match == "simple":
                 continue
             if match == "full":
-                out.append(rows.withColumn("why", F.lit("incomplete")))
+                out.append(rows.select("row", F.lit("incomplete").alias("why")))
                 continue
-        out.append(_orphans_of_mask(rows, targets, on, at, live_from, live_to))
-    return reduce(DataFrame.unionByName, out)
+        out.append(_orphans_of_mask(rows, known, on))
+    return reduce(DataFrame.unionByName, out).select(*[F.col("row").getField(c).alias(c) for c in own], "why")
 
 
-def _orphans_of_mask(
-    rows: DataFrame, targets: DataFrame, on: list[str], at: str, live_from: str, live_to: str
-) -> DataFrame:
-    t = targets.select(
-        *on,
-        F.coalesce(F.col(live_from), F.lit(-(1 << 62))).alias("_lf"),
-        F.col(live_to).alias("_lt"),
-    ).where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on]))
+def _orphans_of_mask(rows: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
+    t = targets.select(*on, "lf", "lt").where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on]))
     # one row per key, so a hot key on the reference side never multiplies
-    known = t.groupBy(*on).agg(
-        F.min("_lf").alias("_first"), F.min(F.when(F.col("_lt").isNull(), F.col("_lf"))).alias("_open")
-    )
-    missing = rows.join(known.select(*on), on, "left_anti").withColumn("why", F.lit("missing"))
-    found = rows.where(F.col(at).isNotNull()).join(known, on)
-    doubtful = found.where(F.col("_open").isNull() | (F.col(at) < F.col("_open")))
-    closed = merge_intervals(
-        t.where("_lt IS NOT NULL").withColumn("_last", F.col("_lt") - 1), on, "_lf", "_last", block=DAY_US
-    ).select(*[F.col(c).alias(f"_t_{c}") for c in on], "from_pos", "to_pos")
-    alive = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_t_{c}") for c in on])
-    alive = alive & (F.col(at) >= F.col("from_pos")) & (F.col(at) <= F.col("to_pos"))
+    known = t.groupBy(*on).agg(F.min("lf").alias("first"), F.min(F.when(F.col("lt").isNull(), F.col("lf"))).alias("open"))
+    missing = rows.join(known.select(*on), on, "left_anti").select("row", F.lit("missing").alias("why"))
+    found = rows.where("at IS NOT NULL").join(known, on)
+    doubtful = found.where(F.col("open").isNull() | (F.col("at") < F.col("open")))
+    closed = merge_intervals(t.where("lt IS NOT NULL").withColumn("last", F.col("lt") - 1), on, "lf", "last", block=DAY_US)
+    closed = closed.select(*[F.col(c).alias(f"t_{c}") for c in on], "from_pos", "to_pos")
+    alive = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"t_{c}") for c in on])
+    alive = alive & (F.col("at") >= F.col("from_pos")) & (F.col("at") <= F.col("to_pos"))
     dead = doubtful.join(closed, alive, "left_anti")
-    why = F.when(F.col("_first") > F.col(at), F.lit("late")).otherwise(F.lit("deleted"))
-    return missing.unionByName(dead.withColumn("why", why).drop("_first", "_open").select(missing.columns))
+    why = F.when(F.col("first") > F.col("at"), F.lit("late")).otherwise(F.lit("deleted"))
+    return missing.unionByName(dead.select("row", why.alias("why")))

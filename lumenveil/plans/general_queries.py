@@ -78,7 +78,8 @@ PATH_SQL = r"""array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_tran
 
 P4_SQL = f"""
 WITH s AS (
-  SELECT scan_id, nullif({PATH_SQL.format(p='file_path')}, '') AS file_path,
+  -- distinct: two equal rows would tie, and the two windows below could order them differently
+  SELECT DISTINCT scan_id, nullif({PATH_SQL.format(p='file_path')}, '') AS file_path,
          greatest(least(start_line, coalesce(end_line, start_line)), 1) AS lo,
          greatest(start_line, coalesce(end_line, start_line)) AS hi
   FROM evidence_spans WHERE start_line >= 1),
