@@ -16,6 +16,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_ROOTS: list[str] = []
+
+
+def _sweep() -> None:
+    """At the end of the driver, delete what its runs left in a folder of the file system."""
+    for root in _ROOTS:
+        path = root.removeprefix("file://").removeprefix("file:")
+        if "://" not in path:
+            shutil.rmtree(path, ignore_errors=True)
+
+
+atexit.register(_sweep)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +48,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        _ROOTS.append(self.root)
 
     def put(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return it as a plain scan."""
