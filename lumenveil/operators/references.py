@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenveil.operators.intervals import merge_intervals
+from lumenveil.workspace import Workspace
 
 DAY_US = 86_400_000_000
 
@@ -53,6 +54,7 @@ def orphan_references(
         F.coalesce(F.col(f"`{live_from}`").cast("long"), F.lit(-(1 << 62))).alias("lf"),
         F.col(f"`{live_to}`").cast("long").alias("lt"),
     )
+    ws = Workspace(refs.sparkSession, "references")
     optional = [inner[c] for c in keys if c not in required]
     needed = [inner[c] for c in required]
     out: list[DataFrame] = []
@@ -62,23 +64,23 @@ def orphan_references(
         for c, present in zip(optional, mask):
             rows = rows.where(F.col(c).isNotNull() if present else F.col(c).isNull())
         if len(on) < len(keys):
-            if match == "simple":
+            if match == "simple" or rows.isEmpty():
                 continue
             if match == "full":
                 out.append(rows.select("row", F.lit("incomplete").alias("why")))
                 continue
-        out.append(_orphans_of_mask(rows, known, on))
+        out.append(_orphans_of_mask(rows, known, on, ws))
     return reduce(DataFrame.unionByName, out).select(*[F.col("row").getField(c).alias(c) for c in own], "why")
 
 
-def _orphans_of_mask(rows: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
+def _orphans_of_mask(rows: DataFrame, targets: DataFrame, on: list[str], ws: Workspace) -> DataFrame:
     t = targets.select(*on, "lf", "lt").where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on]))
     # one row per key, so a hot key on the reference side never multiplies
-    known = t.groupBy(*on).agg(F.min("lf").alias("first"), F.min(F.when(F.col("lt").isNull(), F.col("lf"))).alias("open"))
+    known = ws.put(t.groupBy(*on).agg(F.min("lf").alias("first"), F.min(F.when(F.col("lt").isNull(), F.col("lf"))).alias("open")))
     missing = rows.join(known.select(*on), on, "left_anti").select("row", F.lit("missing").alias("why"))
     found = rows.where("at IS NOT NULL").join(known, on)
     doubtful = found.where(F.col("open").isNull() | (F.col("at") < F.col("open")))
-    closed = merge_intervals(t.where("lt IS NOT NULL").withColumn("last", F.col("lt") - 1), on, "lf", "last", block=DAY_US)
+    closed = ws.put(merge_intervals(t.where("lt IS NOT NULL").withColumn("last", F.col("lt") - 1), on, "lf", "last", block=DAY_US))
     closed = closed.select(*[F.col(c).alias(f"t_{c}") for c in on], "from_pos", "to_pos")
     alive = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"t_{c}") for c in on])
     alive = alive & (F.col("at") >= F.col("from_pos")) & (F.col("at") <= F.col("to_pos"))
