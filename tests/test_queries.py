@@ -4,7 +4,7 @@ import importlib
 
 import pytest
 
-MODULES = ["general_queries", "code_queries", "relation_queries", "catalog_queries"]
+MODULES = ["general_queries", "code_queries", "relation_queries", "catalog_queries", "component_queries"]
 CASES = [(m, name) for m in MODULES for name in importlib.import_module(f"lumenveil.plans.{m}").QUERIES]
 
 
