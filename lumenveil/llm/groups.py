@@ -21,8 +21,9 @@ def star_edges(memberships: DataFrame, member: str, keys: list[str]) -> DataFram
     Members sharing a key end up connected with one edge each instead of all pairs.  Null keys must be
     filtered before; a key with one member gives no edge; repeated rows give one edge.
     """
-    rows = memberships.select(F.col(member).alias("a"), *keys).dropDuplicates()
-    centre = rows.groupBy(*keys).agg(F.min("a").alias("b"))
+    rows = memberships.select(F.col(member).alias("a"), *keys)
+    # repeated memberships are left to the last step: they are few, and edges are narrower than keys
+    centre = rows.groupBy(*keys).agg(F.min("a").alias("b"), F.max("a").alias("_top")).where("b <> _top").drop("_top")
     return rows.join(centre, keys).where("a <> b").select("a", "b").dropDuplicates()
 
 
