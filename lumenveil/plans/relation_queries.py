@@ -150,7 +150,7 @@ UNLINKED = f"WITH {NODES_SQL}, {LINKS_SQL} SELECT coalesce(dp_kind, file_type) A
 
 def merged_components(spark: SparkSession, folder: str) -> DataFrame:
     """Components of a scan that share type, subtype and the last word of their name, merged into the most confident."""
-    c = table(spark, folder, "components").withColumn("kind", F.element_at(camel_parts(F.col("name")), -1))
+    c = table(spark, folder, "components").withColumn("kind", F.try_element_at(camel_parts(F.col("name")), F.lit(-1)))
     return merge_duplicates(
         c, ["scan_id", "type", "sub_type", "kind"], [(-F.col("confidence"))], ["name", "component_id", "confidence"], {"names": F.col("name")}
     )

@@ -18,13 +18,15 @@ from lumenveil.functions.text import relative_path
 
 #: File endings of the languages that are read (fixed values).
 LANGUAGE_BY_ENDING = {
-    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go", "java": "java",
-    "kt": "kotlin", "kts": "kotlin", "cs": "csharp", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "h": "cpp", "rs": "rust", "php": "php", "rb": "ruby", "swift": "swift",
-    "prisma": "prisma", "tf": "terraform", "json": "json", "yaml": "yaml", "yml": "yaml", "env": "env",
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python",
+    "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "c++": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "ipp": "cpp", "inl": "cpp", "h": "cpp",
+    "cs": "csharp", "cshtml": "csharp", "razor": "csharp", "go": "go", "php": "php", "phtml": "php", "rs": "rust", "rb": "ruby", "swift": "swift", "prisma": "prisma",
+    "java": "java", "kt": "kotlin", "kts": "kotlin", "json": "json", "yaml": "yaml", "yml": "yaml", "tf": "terraform", "tfvars": "terraform",
 }
 #: Directories that are never entered (fixed values), besides hidden ones.
 SKIPPED_DIRECTORIES = (
-    "node_modules", "dist", "build", "out", "coverage", "vendor", "target", "bin", "obj", "__pycache__", "venv", "env", "bower_components", "tmp", "temp", "logs",
+    "node_modules", "venv", ".venv", "site-packages", "vendor", "test", "tests", "__tests__", "__stories__", "e2e", "storybook-static", ".git", "dist", "build", ".next", "out",
+    "coverage", ".vscode", ".idea", "obj", "cmake-build-debug", "cmake-build-release", "target",
 )
 MAX_FILE_BYTES = 2 * 1024 * 1024
 
@@ -108,24 +110,28 @@ def ignored_paths(paths: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def path_outcomes(listing: DataFrame, exclude: list[str] | None = None, max_files: int = 20_000, max_total: int = 200 * 1024 * 1024) -> DataFrame:
-    """``listing(path, size)`` with language and ``reason``; the first reason that applies, ``processed`` for files to read.
+    """``listing(path, size)`` with language and ``reason``: the first that applies, ``successfully_processed`` for files to read.
+
+    ``ignored`` (as :func:`ignored_paths` gives it) is used where the listing has it.
 
     Budgets: files beyond ``max_files`` in path order, and files whose running size in path order passes ``max_total``.
     """
     patterns = [glob_regex(p) for p in exclude or []]
     excluded = reduce(lambda a, b: a | b, [F.col("path").rlike(p) for p in patterns], F.lit(False))
     rows = listing.withColumn("language", file_language(F.col("path")))
+    ignored = F.coalesce(F.col("ignored"), F.lit(False)) if "ignored" in listing.columns else F.lit(False)
     reason = (
-        F.when(in_skipped_directory(F.col("path")), "skipped_directory")
-        .when(is_sensitive(F.col("path")), "sensitive")
-        .when(excluded, "excluded")
-        .when(F.col("language").isNull(), "unsupported")
-        .when(F.col("size") > MAX_FILE_BYTES, "too_large")
+        F.when(in_skipped_directory(F.col("path")), "ignored_by_repository_default_policy")
+        .when(is_sensitive(F.col("path")), "sensitive_path_exclusion")
+        .when(excluded, "excluded_by_configured_policy")
+        .when(ignored, "ignored_by_repository_default_policy")
+        .when(F.col("language").isNull(), "unsupported_file_type_or_language")
+        .when(F.col("size") > MAX_FILE_BYTES, "file_too_large")
     )
     rows = rows.withColumn("_first", reason)
     w = Window.partitionBy(F.col("_first").isNull()).orderBy("path")
     budgeted = rows.withColumn("_n", F.row_number().over(w)).withColumn("_sum", F.sum("size").over(w))
-    late = F.when(F.col("_n") > max_files, "file_budget").when(F.col("_sum") > max_total, "byte_budget").otherwise("processed")
+    late = F.when(F.col("_n") > max_files, "file_count_cap_reached").when(F.col("_sum") > max_total, "total_byte_cap_reached").otherwise("successfully_processed")
     return budgeted.withColumn("reason", F.coalesce("_first", late)).drop("_first", "_n", "_sum")
 
 

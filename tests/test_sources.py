@@ -27,8 +27,8 @@ def test_outcomes(spark):
     rows = [("src/a.ts", 10), ("node_modules/x.js", 10), (".env", 5), ("src/.env.local", 5), ("docs/a.py", 10), ("b.xyz", 1), ("big.py", 3_000_000), ("c.py", 10), ("d.py", 10)]
     out = path_outcomes(spark.createDataFrame(rows, "path string, size long"), exclude=["docs/**"], max_files=2)
     assert {r["path"]: r["reason"] for r in out.collect()} == {
-        "src/a.ts": "file_budget", "node_modules/x.js": "skipped_directory", ".env": "sensitive", "src/.env.local": "sensitive", "docs/a.py": "excluded",
-        "b.xyz": "unsupported", "big.py": "too_large", "c.py": "processed", "d.py": "processed",
+        "src/a.ts": "file_count_cap_reached", "node_modules/x.js": "ignored_by_repository_default_policy", ".env": "sensitive_path_exclusion", "src/.env.local": "sensitive_path_exclusion",
+        "docs/a.py": "excluded_by_configured_policy", "b.xyz": "unsupported_file_type_or_language", "big.py": "file_too_large", "c.py": "successfully_processed", "d.py": "successfully_processed",
     }
 
 
