@@ -39,3 +39,22 @@ def loose_id(value: Column) -> Column:
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 UTC as BIGINT."""
     return F.unix_micros(ts.cast("timestamp"))
+
+
+def is_contract_path(path: Column) -> Column:
+    """Relative path with forward slashes only: not empty or absolute, no drive letter, NUL, ``..`` or empty segment."""
+    bad = path.rlike(r"^$|^/|^[A-Za-z]:|\\|(^|/)\.\.(/|$)|//|/$") | path.contains("\u0000")
+    return F.coalesce(~bad, F.lit(False))
+
+
+def typed_flow_key(key: Column) -> Column:
+    """Ends of ``flow:type:key->type:key`` as a struct; null for anything else."""
+    pattern = r"^flow:(asset|third_party|actor):(.+?)->(asset|third_party|actor):(.+)$"
+    parts = [F.regexp_extract(key, pattern, g) for g in range(1, 5)]
+    fields = F.struct(*[p.alias(n) for p, n in zip(parts, ("source_type", "source", "target_type", "target"))])
+    return F.when(key.rlike(pattern), fields)
+
+
+def same_file(a: Column, b: Column) -> Column:
+    """Whether two spellings name one file: equal, or one ends in a slash and the other."""
+    return (a == b) | F.endswith(a, F.concat(F.lit("/"), b)) | F.endswith(b, F.concat(F.lit("/"), a))
