@@ -49,8 +49,8 @@ def lines_by_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LINES_BY_LANGUAGE = FILES_SQL + r"""
-SELECT language, count(DISTINCT file_id) AS files, count(*) AS lines, count_if(trim(line, ' ') = '') AS blank,
-       count_if(regexp_matches(trim(line, ' '), '^(//|#|/\*|\*|<!--|--)')) AS comments FROM lines GROUP BY language
+SELECT language, count(DISTINCT file_id) AS files, count(*) AS lines, count_if(trim(line, ' ') = '')::BIGINT AS blank,
+       count_if(regexp_matches(trim(line, ' '), '^(//|#|/\*|\*|<!--|--)'))::BIGINT AS comments FROM lines GROUP BY language
 """
 
 
@@ -82,13 +82,13 @@ def personal_data_items(spark: SparkSession, folder: str) -> DataFrame:
         F.count("*").alias("occurrences"),
         F.count_distinct("file_id").alias("files"),
         F.count_distinct("repo").alias("repos"),
-        F.sort_array(F.collect_set("label")).alias("labels"),
+        F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
     )
 
 
 ITEMS = FILES_SQL + _rules_sql() + """
 SELECT rule_id, category, 'data_item:' || rule_id AS item_key, count(*) AS occurrences, count(DISTINCT file_id) AS files,
-       count(DISTINCT repo) AS repos, list_sort(list(DISTINCT label)) AS labels FROM hits GROUP BY rule_id, category
+       count(DISTINCT repo) AS repos, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM hits GROUP BY rule_id, category
 """
 
 

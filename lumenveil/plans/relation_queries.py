@@ -152,13 +152,13 @@ def merged_components(spark: SparkSession, folder: str) -> DataFrame:
     """Components of a scan that share type, subtype and the last word of their name, merged into the most confident."""
     c = table(spark, folder, "components").withColumn("kind", F.try_element_at(camel_parts(F.col("name")), F.lit(-1)))
     return merge_duplicates(
-        c, ["scan_id", "type", "sub_type", "kind"], [(-F.col("confidence"))], ["name", "component_id", "confidence"], {"names": F.col("name")}
-    )
+        c, ["scan_id", "type", "sub_type", "kind"], [-F.col("confidence")], ["name", "component_id", "confidence"], {"names": F.col("name")}
+    ).withColumn("names", F.array_join("names", ","))
 
 
 MERGED = r"""
 WITH c AS (SELECT *, list_last(string_split(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_\-\s.]+', ' ', 'g')), ' ')) AS kind FROM components)
-SELECT scan_id, type, sub_type, kind, m.name AS name, m.component_id AS component_id, m.confidence AS confidence, merged, names FROM (
+SELECT scan_id, type, sub_type, kind, m.name AS name, m.component_id AS component_id, m.confidence AS confidence, merged, array_to_string(names, ',') AS names FROM (
   SELECT scan_id, type, sub_type, kind, min(struct_pack(o := -confidence, name, component_id, confidence)) AS m, count(*) AS merged, list_sort(list(DISTINCT name)) AS names FROM c GROUP BY ALL)
 """
 
@@ -170,11 +170,11 @@ def merged_flows(spark: SparkSession, folder: str) -> DataFrame:
     return merge_duplicates(
         e.withColumn("place", place), ["scan_id", "source", "target", "relation", "place"], [-F.col("confidence_score")], ["link_id", "confidence_score"],
         {"locations": F.concat_ws(":", F.col("source_file"), F.col("line"))},
-    )
+    ).withColumn("locations", F.array_join("locations", ","))
 
 
 FLOWS = f"""WITH {LINKS_SQL}, e AS (SELECT *, concat_ws(':', source_file, line::VARCHAR) AS loc, CASE WHEN source = target THEN concat_ws(':', source_file, line::VARCHAR) END AS place FROM links)
-SELECT scan_id, source, target, relation, place, m.link_id AS link_id, m.confidence_score AS confidence_score, merged, locations FROM (
+SELECT scan_id, source, target, relation, place, m.link_id AS link_id, m.confidence_score AS confidence_score, merged, array_to_string(locations, ',') AS locations FROM (
  SELECT scan_id, source, target, relation, place, min(struct_pack(o := coalesce(-confidence_score, -1e308), link_id, confidence_score)) AS m, count(*) AS merged, list_sort(list(DISTINCT loc)) AS locations FROM e GROUP BY ALL)"""
 
 
@@ -241,11 +241,11 @@ SIGNAL = f"WITH {HITS_SQL}, c AS (SELECT scan_id, path, signal_id, count(*) AS v
 def merged_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Property bags of hits merged per file: every label by name with its values in order of first appearance."""
     bags = hits(spark, folder).select("scan_id", "path", "start_line", F.create_map(F.col("category"), F.col("signal_id")).alias("bag"))
-    return merged_bags(bags, ["scan_id", "path"], "bag", "start_line")
+    return merged_bags(bags, ["scan_id", "path"], "bag", "start_line").withColumn("values", F.array_join("values", ","))
 
 
 BAGS = f"""WITH {HITS_SQL}, f AS (SELECT scan_id, path, category AS name, signal_id AS value, min(start_line) AS o FROM hits GROUP BY ALL)
-SELECT scan_id, path, name, list(value ORDER BY o NULLS FIRST, value) AS "values" FROM f GROUP BY scan_id, path, name"""
+SELECT scan_id, path, name, array_to_string(list(value ORDER BY o NULLS FIRST, value), ',') AS "values" FROM f GROUP BY scan_id, path, name"""
 
 # ---------------------------------------------------------------- windows
 
