@@ -25,50 +25,44 @@ def merge_intervals(
     Defined cases: rows with a null bound, or ``hi < lo``, do not count; a null key is a key of its
     own; repeated rows change nothing; an empty input gives an empty result; other columns are ignored.
     """
-    k = [f"_k{i}" for i in range(len(keys))]
-    base = spans.select(
-        *[F.col(c).alias(a) for c, a in zip(keys, k)],
-        F.col(lo).cast("long").alias("_lo"),
-        F.col(hi).cast("long").alias("_hi"),
-    ).where("_lo IS NOT NULL AND _hi >= _lo")
-    base = base.withColumn("_b", F.floor(F.col("_lo") / F.lit(block)).cast("long"))
+    # one struct as key: equal structs have equal fields, nulls included, so joins on it need no null-safe
+    # comparison and keep the partitioning of the windows before them
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)])
+    base = spans.select(key.alias("_k"), F.col(lo).cast("long").alias("_lo"), F.col(hi).cast("long").alias("_hi"))
+    base = base.where("_lo IS NOT NULL AND _hi >= _lo").withColumn("_b", F.floor(F.col("_lo") / F.lit(block)).cast("long"))
     # one row per start: repeated and nested spans of a hot entity fold before the shuffle
-    starts = base.groupBy(*k, "_b", "_lo").agg(F.max("_hi").alias("_hi"))
+    starts = base.groupBy("_k", "_b", "_lo").agg(F.max("_hi").alias("_hi"))
 
-    inside = Window.partitionBy(*k, "_b").orderBy("_lo")
+    inside = Window.partitionBy("_k", "_b").orderBy("_lo")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     seen = starts.withColumn("_before", F.max("_hi").over(before))
     opens = F.col("_before").isNull() | (F.col("_lo") > F.col("_before") + 1)
     local = (
         seen.withColumn("_island", F.max(F.when(opens, F.col("_lo"))).over(inside))
-        .groupBy(*k, "_b", "_island")
+        .groupBy("_k", "_b", "_island")
         .agg(F.max("_hi").alias("_hi"), F.min_by("_before", "_lo").alias("_before"))
     )
 
-    blocks = local.groupBy(*k, "_b").agg(F.max("_hi").alias("_top"), F.max("_island").alias("_last"))
-    over = Window.partitionBy(*k).orderBy("_b")
+    blocks = local.groupBy("_k", "_b").agg(F.max("_hi").alias("_top"), F.max("_island").alias("_last"))
+    over = Window.partitionBy("_k").orderBy("_b")
     earlier = over.rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_carry", F.max("_top").over(earlier))
     still_open = F.col("_carry").isNull() | (F.col("_last") > F.col("_carry") + 1)
-    blocks = blocks.withColumn("_from", F.max(F.when(still_open, F.col("_last"))).over(earlier))
-    carried = blocks.select(*[F.col(a).alias(f"{a}r") for a in k], F.col("_b").alias("_br"), "_carry", "_from")
+    carried = blocks.select("_k", "_b", "_carry", F.max(F.when(still_open, F.col("_last"))).over(earlier).alias("_from"))
 
-    same = F.col("_b") == F.col("_br")
-    for a in k:
-        same = same & F.col(a).eqNullSafe(F.col(f"{a}r"))
-    joined = local.join(carried, same)
     new = F.col("_carry").isNull() | (F.col("_island") > F.col("_carry") + 1)
     return (
-        joined.select(
-            *k,
+        local.join(carried, ["_k", "_b"])
+        .select(
+            "_k",
             F.when(new, F.col("_island")).otherwise(F.col("_from")).alias("_start"),
             "_hi",
             F.when(new, F.greatest("_carry", "_before")).alias("_prev"),
         )
-        .groupBy(*k, "_start")
+        .groupBy("_k", "_start")
         .agg(F.max("_hi").alias("_end"), F.max("_prev").alias("_prev"))
         .select(
-            *[F.col(a).alias(c) for c, a in zip(keys, k)],
+            *[F.col("_k").getField(f"k{i}").alias(c) for i, c in enumerate(keys)],
             F.col("_start").alias("from_pos"),
             F.col("_end").alias("to_pos"),
             F.col("_prev").alias("prev_to"),
