@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenveil.workspace import Workspace
+
 
 def merge_intervals(
     spans: DataFrame, keys: list[str], lo: str, hi: str, block: int = 1024
@@ -43,6 +45,8 @@ def merge_intervals(
         .agg(F.max("_hi").alias("_hi"), F.min_by("_before", "_lo").alias("_before"))
     )
 
+    # read twice below: written once, or the spans would be read and shuffled twice
+    local = Workspace(spans.sparkSession, "intervals").put(local)
     blocks = local.groupBy("_k", "_b").agg(F.max("_hi").alias("_top"), F.max("_island").alias("_last"))
     over = Window.partitionBy("_k").orderBy("_b")
     earlier = over.rowsBetween(Window.unboundedPreceding, -1)
