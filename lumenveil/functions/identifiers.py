@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,8 +29,13 @@ def identifier_tokens(line: Column) -> Column:
 
 
 def ascii_word(pattern: str) -> str:
-    """A pattern with word bounds that treat only ASCII letters, digits and underscore as word characters."""
-    return pattern.replace(r"\b", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+    """A pattern with word bounds that treat only ASCII letters, digits and underscore as word characters.
+
+    A bound at the start of the pattern, a group or an alternative must precede a word character, any other must follow one, so each is
+    a single look-around.
+    """
+    opening = re.sub(r"(^|[(|])\\b", r"\1(?<![A-Za-z0-9_])", pattern)
+    return opening.replace(r"\b", "(?![A-Za-z0-9_])")
 
 
 def url_host(url: Column) -> Column:
