@@ -62,13 +62,14 @@ def rejected(language: str, text: str) -> bool:
 
 
 def diagnose(language: str, text: str) -> tuple[int, bool, str, str | None, list[int]]:
-    """(cost, whether the cost is only a lower bound, kind, language it parses as, lines of edits) of a rejected text.
+    """(cost, whether the cost is only a lower bound (never), kind, language it parses as, lines of edits) of a rejected text.
 
-    ``conflict``: edits lie on merge markers.  ``mismatch``: the text parses as another language, or repair was given up.
-    ``truncation``: all edits lie at the end.  ``local``: anything else.
+    ``conflict``: edits lie on merge markers.  ``mismatch``: the text parses as another language, or every fifth token is edited.
+    ``truncation``: the text can go on at its end, or all edits lie there.  ``local``: anything else.
     """
     parsed = tokens(language, text)
     repair = parser(language).repair(parsed)
+    cut = parser(language).run(parsed)[0] == len(parsed.kinds) - 1
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     at = sorted({e.line for e in repair.edits})
     other = next((o for o in LANGUAGES if o not in (language, "yaml") and parser(o).parses(tokens(o, text))), None)
@@ -76,7 +77,7 @@ def diagnose(language: str, text: str) -> tuple[int, bool, str, str | None, list
         kind = "conflict"
     elif other is not None:
         kind = "mismatch"
-    elif all(e.last for e in repair.edits):
+    elif cut or all(e.last for e in repair.edits):
         kind = "truncation"
     elif not repair.complete or 5 * repair.cost > len(parsed.kinds):
         kind = "mismatch"

@@ -157,13 +157,36 @@ class Parser:
     def parses(self, tokens: Tokens) -> bool:
         return self.run(tokens)[0] < 0
 
-    def repair(self, tokens: Tokens, region: int = 12, ahead: int = 8, most: int = 40) -> Repair:
-        """Repair of least cost, error by error; the cost is zero exactly for texts that parse.
+    def repair(self, tokens: Tokens) -> Repair:
+        """Repair of least cost over the whole text; the cost is zero exactly for texts that parse.
+
+        A quick repair, error by error, gives an upper bound; stretches that occur in no text of the grammar give a lower one.  Between them
+        the chart is searched for the least cost with rising limits, until a repair is found or the upper bound is known to be least.
+        """
+        stop = self.run(tokens)[0]
+        if stop < 0:
+            return Repair(0, [], True)
+        quick, certain = self._quick(tokens)
+        rest = self._unavoidable(tokens, stop)
+        limit, step = rest[0], 1
+        while not (certain and quick.cost <= limit):
+            if certain:
+                limit = min(limit, quick.cost - 1)
+            found = self._search(tokens, limit, rest)
+            if found is not None:
+                return quick if quick.cost == found.cost else found
+            if certain and limit == quick.cost - 1:
+                break
+            limit, step = limit + step, 2 * step
+        return quick
+
+    def _quick(self, tokens: Tokens, region: int = 12, ahead: int = 8) -> tuple[Repair, bool]:
+        """(repair error by error, whether its edited text is known to parse); its cost is an upper bound.
 
         Where the chart stops, every single edit at one of the last ``region`` positions, and dropping the rest of the offending
         line, is tried on the chart's own items; the cheapest that lets ``ahead`` more tokens parse, and of these the one
         that gets furthest, is kept.  If none does, the offending token is dropped.  At the end of the text the least number of
-        tokens that completes any item is exact.  After ``most`` edits the text is given up and the cost is a lower bound.
+        tokens that completes any item is put in, without a look at guards.
         """
         current = Tokens(list(tokens.kinds), list(tokens.lines), list(tokens.breaks))
         edits: list[Edit] = []
@@ -173,14 +196,12 @@ class Parser:
         while True:
             stop, done = self._advance(current, at, waiting, following)
             if done:
-                return Repair(len(edits), edits, True)
-            if len(edits) >= most:
-                return Repair(len(edits), edits, False)
+                return Repair(len(edits), edits, True), True
             line = current.lines[stop]
             if current.kinds[stop] == ("EOF",):
                 missing = self._completion(current, stop, waiting, following)
                 edits += [Edit("put", line, "?", True)] * missing
-                return Repair(len(edits), edits, missing > 0)
+                return Repair(len(edits), edits, True), False
             position, changes = self._cheapest(current, stop, waiting, following, region, ahead)
             for action, place, terminal in changes:
                 here = current.lines[place]
@@ -190,6 +211,221 @@ class Parser:
             at = min(position, len(following))
             del waiting[at:], following[at:]
 
+    def _unavoidable(self, tokens: Tokens, stop: int) -> list[int]:
+        """Per position the number of disjoint stretches from there on that no text of the grammar contains; each needs an edit."""
+        n = len(tokens.kinds)
+        rest = [0] * (n + 1)
+        starts = [0]
+        at = stop + 1
+        while at < n:
+            end = self._dies(tokens, at)
+            if end < 0:
+                break
+            starts.append(at)
+            at = end + 1
+        for start in starts:
+            rest[start] += 1
+        for i in range(n - 1, -1, -1):
+            rest[i] += rest[i + 1]
+        return rest
+
+    def _dies(self, tokens: Tokens, start: int) -> int:
+        """Position where the stretch from ``start`` can no longer be part of a text of the grammar, -1 if it can be its end."""
+        net = self.net
+        backs = getattr(self, "_backs", None)
+        if backs is None:
+            backs = self._backs = [[] for _ in net.start]
+            for calls in net.calls:
+                for rule, back in calls:
+                    if back not in backs[rule]:
+                        backs[rule].append(back)
+        n = len(tokens.kinds)
+        items = [(s, -1) for s in range(len(net.rule_of))]  # origin -1: before the stretch
+        waiting: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for i in range(start, n):
+            kinds = tokens.kinds[i]
+            table = self._table(kinds)
+            here: dict[int, list[tuple[int, int]]] = {}
+            waiting[i] = here
+            seen, work, ahead = set(items), list(items), set()
+            empty: set[int] = set()
+            at_end = kinds == ("EOF",)
+            for state, origin in work:
+                shifts, calls, ends, guards = table[state] or self._move(table, kinds, state)
+                ahead.update((target, origin) for target in shifts)
+                onward: list[tuple[int, int]] = []
+                for rule, first, back in calls:
+                    here.setdefault(rule, []).append((back, origin))
+                    onward.append((first, i))
+                    if rule in empty:
+                        onward.append((back, origin))
+                if ends >= 0:
+                    if at_end and ends == net.root and origin < 0:
+                        return -1
+                    if origin == i:
+                        empty.add(ends)
+                    onward += [(back, -1) for back in backs[ends]] if origin < 0 else waiting[origin].get(ends, ())
+                onward += [(target, origin) for name, target in guards if _guard(name, tokens, i)]
+                for item in onward:
+                    if item not in seen:
+                        seen.add(item)
+                        work.append(item)
+            if not ahead:
+                return i
+            items = list(ahead)
+        return -1
+
+    def _targets(self) -> list[list[tuple[int, tuple[str, ...]]]]:
+        """Per state (next state, terminals that lead to it)."""
+        held = getattr(self, "_targets_held", None)
+        if held is None:
+            held = []
+            for row in self.net.terminal:
+                by: dict[int, list[str]] = {}
+                for terminal, target in row.items():
+                    if terminal not in ("NEVER", "EOF"):
+                        by.setdefault(target, []).append(terminal)
+                held.append([(target, tuple(sorted(names))) for target, names in by.items()])
+            self._targets_held = held
+        return held
+
+    def _search(self, tokens: Tokens, limit: int, rest: list[int]) -> Repair | None:
+        """Repair of least cost if that is at most ``limit``.
+
+        Items are (state, origin, guards the next token must pass).  Each position is worked off by rising cost of the
+        text before it; an item is dropped only if its cost and the edits unavoidable after it exceed the limit.  An origin is a
+        position together with the guards pending there, so that rules return to callers with the same pending guards.
+        """
+        net = self.net
+        rule_of, accepts, root = net.rule_of, net.accepts, net.root
+        targets = self._targets()
+        n = len(tokens.kinds)
+        waiting: list[dict[int, list]] = [{}]  # by origin: rule -> (cost, state to return to, its origin, caller), by rising cost
+        opened: list[dict[int, int]] = [{root: 0}]  # by origin: least cost of the text before a rule opened there
+        column = [0]
+        none: frozenset[str] = frozenset()
+        kernel: dict[tuple, int] = {(net.start[root], 0, none): 0}
+        how: list[dict[tuple, tuple]] = [{(net.start[root], 0, none): ("start",)}]
+        passes: dict[tuple, bool] = {}
+
+        def fits(guards: frozenset[str], kinds: tuple[str, ...], after_break: bool) -> bool:
+            key = (guards, kinds, after_break)
+            found = passes.get(key)
+            if found is None:
+                one = Tokens([kinds], [0], [after_break])
+                found = passes[key] = all(_guard(name, one, 0) for name in guards)
+            return found
+
+        for i in range(n):
+            kinds, after_break = tokens.kinds[i], tokens.breaks[i]
+            at_end = kinds == ("EOF",)
+            table = self._table(kinds)
+            most, most_next = limit - rest[i], limit - rest[i + 1]
+            least = dict(kernel)
+            ways = how[i]
+            buckets: list[list[tuple]] = [[] for _ in range(most + 1)]
+            for item, cost in kernel.items():
+                if cost <= most:
+                    buckets[cost].append(item)
+            following: dict[tuple, int] = {}
+            onward: dict[tuple, tuple] = {}
+            first_here = len(waiting)
+            origins: dict[frozenset[str], int] = {}
+            ended: dict[tuple[int, int], list] = {}
+            final: set[tuple] = set()
+
+            def reach(item: tuple, cost: int, way: tuple) -> None:
+                if cost <= most and cost < least.get(item, limit + 1):
+                    least[item] = cost
+                    ways[item] = way
+                    buckets[cost].append(item)
+
+            def pass_on(item: tuple, cost: int, way: tuple) -> None:
+                if cost <= most_next and cost < following.get(item, limit + 1):
+                    following[item] = cost
+                    onward[item] = way
+
+            for cost in range(most + 1):
+                for item in buckets[cost]:
+                    if item in final:
+                        continue
+                    final.add(item)
+                    state, origin, guards = item
+                    rule = rule_of[state]
+                    may_edit = cost < most_next
+                    fit = not guards or fits(guards, kinds, after_break)
+                    if not may_edit and not fit:
+                        continue
+                    shifts, calls, ends, tests = table[state] or self._move(table, kinds, state)
+                    if fit and not at_end:
+                        for target in shifts:
+                            pass_on((target, origin, none), cost, ("shift", item))
+                    if may_edit:
+                        for target, names in targets[state]:
+                            if not at_end:
+                                swap = next((t for t in names if not guards or fits(guards, (t,), after_break)), None)
+                                if swap is not None:
+                                    pass_on((target, origin, none), cost + 1, ("swap", item, swap))
+                            put = next((t for t in names if not guards or fits(guards, (t,), False)), None)
+                            if put is not None:
+                                reach((target, origin, none), cost + 1, ("put", item, put))
+                        if not at_end and kernel.get(item) == cost:  # drops come before anything else at a position
+                            pass_on(item, cost + 1, ("drop", item))
+                        calls = [(r, net.start[r], back) for r, back in net.calls[state]]
+                    if calls:
+                        here = origins.get(guards)
+                        if here is None:
+                            here = origins[guards] = len(waiting)
+                            waiting.append({})
+                            opened.append({})
+                            column.append(i)
+                        for r, first, back in calls:
+                            waiting[here].setdefault(r, []).append((cost, back, origin, item))
+                            if r not in opened[here]:
+                                opened[here][r] = cost
+                                reach((first, here, guards), cost, ("start",))
+                            for inside, pending, done in ended.get((here, r), ()):
+                                reach((back, origin, pending), cost + inside, ("return", item, i, done))
+                    if accepts[state] and (may_edit or ends >= 0):
+                        if rule == root and origin == 0 and at_end and fit:
+                            return Repair(cost, self._edits(tokens, how, column, i, item), True)
+                        inside = cost - opened[origin][rule]
+                        if origin >= first_here:
+                            ended.setdefault((origin, rule), []).append((inside, guards, item))
+                        for before, back, outer, caller in waiting[origin].get(rule, ()):
+                            if before + inside > most:
+                                break
+                            reach((back, outer, guards), before + inside, ("return", caller, column[origin], item))
+                    for name, target in net.guard[state]:
+                        if may_edit or _guard(name, tokens, i):
+                            reach((target, origin, guards | {name}), cost, ("test", item))
+            kernel = following
+            how.append(onward)
+            if not kernel:
+                return None
+        return None
+
+    def _edits(self, tokens: Tokens, how: list[dict], column: list[int], i: int, item: tuple) -> list[Edit]:
+        """The edits that led to an item, in the order of the text."""
+        found: list[tuple[int, int, Edit]] = []
+        todo = [(i, item)]
+        count = 0
+        while todo:
+            at, item = todo.pop()
+            way = how[at][item]
+            if way[0] == "return":
+                todo += [(way[2], way[1]), (at, way[3])]
+            elif way[0] in ("test", "put"):
+                todo.append((at, way[1]))
+            elif way[0] != "start":
+                todo.append((at - 1, way[1]))
+            if way[0] in ("put", "swap", "drop"):
+                place = at if way[0] == "put" else at - 1
+                count += 1
+                terminal = way[2] if len(way) > 2 else tokens.kinds[place][0]
+                found.append((place, -count, Edit(way[0], tokens.lines[place], terminal, place >= len(tokens.kinds) - 2)))
+        return [edit for _, _, edit in sorted(found, key=lambda f: f[:2])]
+
     def _advance(self, tokens: Tokens, at: int, waiting: list, following: list, limit: int | None = None) -> tuple[int, bool]:
         """Run from ``at``, growing ``waiting`` and ``following``; (position of the stop, whether the text parsed)."""
         items = following[at - 1] if at else [(self.net.start[self.net.root], 0)]
@@ -339,7 +575,7 @@ class Parser:
 
 @dataclass
 class Repair:
-    """``complete``: whether the repaired text parses; otherwise the cost is a lower bound."""
+    """``complete``: whether the repaired text parses."""
 
     cost: int
     edits: list[Edit]

@@ -4,6 +4,7 @@ import json
 import pytest
 
 from lumenveil.llm.parse_errors import broken_files, diagnose, rejected, repairs
+from lumenveil.llm.syntax.chart import Tokens
 from lumenveil.llm.syntax.languages import LANGUAGES, language_of, parser, tokens
 
 GOOD = {
@@ -110,6 +111,41 @@ def test_completion_is_the_least_number_of_tokens():
     assert parser("json").repair(tokens("json", '{"a":')).cost == 2
 
 
+def test_repair_looks_beyond_the_nearest_edit():
+    text = '{"a": [1, 2, "b": [1,2,3,4,5], "c": 3}'  # a bracket after 2; a comma for the colon only moves the error
+    repair = parser("json").repair(tokens("json", text))
+    assert (repair.cost, repair.complete, [e.action for e in repair.edits]) == (1, True, ["put"])
+
+
+def test_repair_does_not_give_up():
+    text = "[" + "1 1, " * 60 + "1]"
+    assert diagnose("json", text)[:2] == (60, False)
+
+
+def test_repair_is_the_least_of_all_edits():
+    p = parser("json")
+    terminals = sorted({t for row in p.net.terminal for t in row} - {"NEVER", "EOF"})
+
+    def least(kinds, most):
+        level = {tuple(kinds)}
+        for cost in range(most + 1):
+            if any(p.parses(Tokens([*row, ("EOF",)], [1] * (len(row) + 1), [False] * (len(row) + 1))) for row in level):
+                return cost
+            level = {
+                row[:i] + middle + row[i + taken :]
+                for row in level
+                for i in range(len(row) + 1)
+                for taken in (0, 1)
+                for middle in [(), *[((t,),) for t in terminals]]
+                if i + taken <= len(row)
+            }
+        return most + 1
+
+    for text in ("", "1 1", "[1 2", "{1", "[}", "]{", ": 1", '{"a" 1', "[,]", '{"a": }', "1 , 2", "[1 2 3"):
+        found = tokens("json", text)
+        assert p.repair(found).cost == least(found.kinds[:-1], 2), text
+
+
 def test_long_text():
     text = "const x = [\n" + "  0x1f, 0x2a, 0x3b,\n" * 20_000 + "];\n"
     assert parser("javascript").parses(tokens("javascript", text))
