@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,21 +23,23 @@ def insert_missing_edges(edges: DataFrame, wanted: DataFrame, keys: list[str]) -
     return edges.withColumn("synthetic", F.lit(False)).unionByName(absent.withColumn("synthetic", F.lit(True)))
 
 
-def distances(edges: DataFrame, starts: DataFrame, scope: list[str], most: int = 64) -> DataFrame:
-    """Fewest edges from any start to each node reachable in its scope (directed), up to ``most`` rounds.
+def distances(edges: DataFrame, starts: DataFrame, scope: list[str]) -> DataFrame:
+    """Fewest edges from any start to each node reachable in its scope (directed), however far away.
 
     Every round is one equi-join of the frontier with the edges and one anti-join against what is known; rounds are written out, so a
-    lost executor costs one round.
+    lost executor costs one round.  Every 32 rounds what is known becomes one table, so plans stay short on long chains.
     """
     ws = Workspace(edges.sparkSession, "bfs")
     steps = ws.put(edges.select(*scope, F.col("source").alias("_s"), F.col("target").alias("_t")).where("_s IS NOT NULL AND _t IS NOT NULL").dropDuplicates())
     known = frontier = ws.put(starts.select(*scope, F.col("node").alias("_n"), F.lit(0).alias("distance")).dropDuplicates())
-    for d in range(1, most + 1):
+    for d in count(1):
         reached = frontier.join(steps.withColumnRenamed("_s", "_n"), [*scope, "_n"]).select(*scope, F.col("_t").alias("_n")).dropDuplicates()
         frontier = ws.put(reached.join(known.select(*scope, "_n"), [*scope, "_n"], "left_anti").withColumn("distance", F.lit(d)))
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
+        if d % 32 == 0:
+            known = ws.put(known)
     return known.select(*scope, F.col("_n").alias("node"), "distance")
 
 

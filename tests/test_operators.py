@@ -108,6 +108,12 @@ def test_graphs(spark):
     assert added.count() == 5 and added.where("synthetic").count() == 1
 
 
+def test_distances_follow_a_long_chain_to_its_end(spark):
+    edges = spark.createDataFrame([("g", f"n{i}", f"n{i + 1}") for i in range(70)], "s string, source string, target string").coalesce(1)
+    starts = spark.createDataFrame([("g", "n0")], "s string, node string")
+    assert {r["node"]: r["distance"] for r in distances(edges, starts, ["s"]).collect()} == {f"n{i}": i for i in range(71)}
+
+
 def test_evaluation(spark):
     pairs = spark.createDataFrame([("g1", 1), ("g1", 1), ("g2", 2), ("g2", 3), ("g3", 4), ("g4", 4)], "g string, f int")
     assert [tuple(r) for r in unambiguous_pairs(pairs, "g", "f").collect()] == [("g1", 1)]
