@@ -79,9 +79,9 @@ def item_seeds(items: DataFrame, rule: LeakRule) -> DataFrame:
     seeds = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "h long, item_id long, pos int")
     return (
         seeds.groupBy("h")
-        .agg(F.min("item_id").alias("item_id"), F.max("item_id").alias("_other"), F.min("pos").alias("pos"))
+        .agg(F.min("item_id").alias("item_id"), F.max("item_id").alias("_other"), F.collect_set("pos").alias("_at"))
         .where("item_id = _other")
-        .select("h", "item_id", "pos")
+        .select("h", "item_id", F.explode("_at").alias("pos"))
     )
 
 
@@ -114,7 +114,7 @@ def shared_words(items: DataFrame, run: int) -> DataFrame:
 
 
 def candidate_regions(documents: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], rule: LeakRule) -> DataFrame:
-    """``(doc_id, item_id, region, at, pos)``: stretches of documents around hits, one seed per 16 words of a stretch."""
+    """``(doc_id, item_id, region, at, pos)``: stretches of documents around hits, one hit per run of an alignment and 16 words."""
     order = np.argsort(seeds[0])
     spark = documents.sparkSession
     bits = 22
@@ -133,19 +133,22 @@ def candidate_regions(documents: DataFrame, seeds: tuple[np.ndarray, np.ndarray,
                 for k, mask in enumerate(masks):
                     at, h = masked_windows(wb, mask, k)
                     maybe = np.flatnonzero(passing[(h >> np.uint64(64 - bits)).astype(np.int64)])
-                    row = np.searchsorted(known, h[maybe])
-                    row[row == len(known)] = 0
-                    hit = known[row] == h[maybe]
-                    ats.append(at[maybe[hit]])
-                    rows.append(row[hit])
+                    low, high = np.searchsorted(known, h[maybe]), np.searchsorted(known, h[maybe], side="right")
+                    times = high - low  # a seed stands once for each of its positions
+                    ats.append(np.repeat(at[maybe], times))
+                    rows.append(np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum()))
                 at, row = np.concatenate(ats), np.concatenate(rows)
                 if not len(at):
                     continue
-                # one seed per document, item and 16 words
-                key = np.lexsort((at, item[row], wb.text[at]))
-                at, row = at[key], row[key]
-                new = np.ones(len(at), bool)
-                new[1:] = (wb.text[at[1:]] != wb.text[at[:-1]]) | (item[row[1:]] != item[row[:-1]]) | (at[1:] >> 4 != at[:-1] >> 4)
+                # hits of one alignment at consecutive words lie in one stretch: the first counts, and every 16th word of a long run
+                shift = at - pos[row]
+                key = np.lexsort((at, shift, item[row], wb.text[at]))
+                at, row, shift = at[key], row[key], shift[key]
+                start = np.ones(len(at), bool)
+                start[1:] = (wb.text[at[1:]] != wb.text[at[:-1]]) | (item[row[1:]] != item[row[:-1]]) | (shift[1:] != shift[:-1]) | (at[1:] > at[:-1] + 1)
+                again = np.zeros(len(at), bool)
+                again[1:] = ~start[1:] & (at[1:] == at[:-1])
+                new = ((at - at[np.flatnonzero(start)][np.cumsum(start) - 1]) % 16 == 0) & ~again
                 for a, r in zip(at[new].tolist(), row[new].tolist()):
                     t = int(wb.text[a])
                     lo = max(a - context, int(np.searchsorted(wb.text, t)))

@@ -86,3 +86,12 @@ def test_word_hashes_agree_with_words():
     assert batch.value[0] == batch.value[[i for i in range(len(batch.text)) if batch.text[i] == 4][0]]
     at, h = masked_windows(batch, (0, 1), 0)
     assert all(batch.text[i] == batch.text[i + 1] for i in at) and len(at) == len(h)
+
+
+def test_seeds_that_repeat_within_an_item(spark):
+    p, x = [f"passage{i}x" for i in range(20)], [f"other{i}y" for i in range(30)]
+    item = [*p[:12], *x[:10], *p[5:], *x[10:20], *p, *x[20:]]  # every seed of the passage stands earlier, in a shorter stretch
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    doc = [f"noise{i}z" for i in range(9)] + p + [f"noise{i}w" for i in range(9)]
+    docs = spark.createDataFrame([(5, " ".join(doc))], "doc_id long, text string")
+    assert [tuple(r) for r in leaked_items(docs, items).collect()] == [(5, 1, 20)]
