@@ -33,7 +33,7 @@ def flows(spark: SparkSession, folder: str) -> DataFrame:
     actions = table(spark, folder, "components").select("scan_id", loose_id(F.col("component_id")).alias("source"), F.explode("data_actions").alias("a"))
     named = actions.select("scan_id", "source", loose_id(F.col("a.topology.related_component_id")).alias("target")).where("target IS NOT NULL")
     e = links(spark, folder).where("startswith(source, 'dp::cmp_') AND startswith(target, 'dp::cmp_')")
-    linked = e.select("scan_id", F.substring("source", 5, 100).alias("source"), F.substring("target", 5, 100).alias("target"))
+    linked = e.select("scan_id", F.expr("substring(source, 5)").alias("source"), F.expr("substring(target, 5)").alias("target"))
     return named.unionByName(linked).where("source <> target").dropDuplicates()
 
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from lumenveil.operators.topology import markdown, rewire_through_hub, rewrite_ends, roles_from_topology, typed_flows, violations
+from lumenveil.plans.component_queries import flows
 
 COMPONENTS = [(1, "a", "actor", None), (1, "h", "asset", "api"), (1, "d", "asset", "database"), (1, "t", "third_party", None)]
 
@@ -33,3 +34,11 @@ def test_rewrite_and_checks(spark):
     got = violations(rows, ["id"], {"range": F.col("c").between(0, 1), "given": F.col("c").isNotNull()}).collect()
     assert {(r["id"], r["violation"]) for r in got} == {(2, "range"), (3, "range"), (3, "given")}
     assert markdown(rows.limit(1), ["id", "c"], ["id"]).splitlines()[2] == "| 1 | 0.5 |"
+
+
+def test_flows_keep_long_component_ids(spark, data, tmp_path):
+    a, b = "cmp_" + "a" * 150, "cmp_" + "b" * 150
+    link = spark.read.parquet(f"{data}/graph_links.parquet").limit(1)
+    link.withColumn("source", F.lit(f"dp::{a}")).withColumn("target", F.lit(f"dp::{b}")).write.parquet(f"{tmp_path}/graph_links.parquet")
+    spark.read.parquet(f"{data}/components.parquet").limit(0).write.parquet(f"{tmp_path}/components.parquet")
+    assert [(r["source"], r["target"]) for r in flows(spark, str(tmp_path)).collect()] == [(a, b)]
