@@ -51,7 +51,7 @@ def _confirmed(language: str, text: str) -> bool:
             json.loads(text.lstrip("﻿"), parse_constant=float)
             return re.search(r"\b(?:NaN|Infinity)\b", text) is not None
     except RecursionError:
-        return False
+        return True  # too deep for that parser: the chart's verdict stands
     except (SyntaxError, ValueError, MemoryError):
         return True
     return True

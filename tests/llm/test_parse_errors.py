@@ -146,6 +146,10 @@ def test_repair_is_the_least_of_all_edits():
         assert p.repair(found).cost == least(found.kinds[:-1], 2), text
 
 
+def test_rejected_where_the_languages_own_parser_gives_up():
+    assert rejected("json", "[" * 20_000)
+
+
 def test_long_text():
     text = "const x = [\n" + "  0x1f, 0x2a, 0x3b,\n" * 20_000 + "];\n"
     assert parser("javascript").parses(tokens("javascript", text))
