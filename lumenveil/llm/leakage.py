@@ -169,10 +169,12 @@ def candidate_regions(documents: DataFrame, seeds: tuple[np.ndarray, np.ndarray,
 
 
 def same_word(a: str, b: str) -> bool:
-    """Equal, or one letter added, dropped, replaced or swapped with its neighbour (words of 3 letters or more)."""
+    """Equal, or one letter added, dropped, replaced or swapped with its neighbour (words of 2 letters: only swapped)."""
     if a == b:
         return True
     la, lb = len(a), len(b)
+    if la == lb == 2 and not (a.isdigit() or b.isdigit()):
+        return a == b[::-1]
     if abs(la - lb) > 1 or min(la, lb) < 2 or max(la, lb) < 3 or a.isdigit() or b.isdigit():
         return False
     i = 0

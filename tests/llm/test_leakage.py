@@ -95,3 +95,7 @@ def test_seeds_that_repeat_within_an_item(spark):
     doc = [f"noise{i}z" for i in range(9)] + p + [f"noise{i}w" for i in range(9)]
     docs = spark.createDataFrame([(5, " ".join(doc))], "doc_id long, text string")
     assert [tuple(r) for r in leaked_items(docs, items).collect()] == [(5, 1, 20)]
+
+
+def test_two_letter_words_with_swapped_letters():
+    assert same_word("of", "fo") and not same_word("of", "if") and not same_word("12", "21")
