@@ -39,7 +39,7 @@ def blank_comments(text: str, language: str) -> str:
 
 
 def without_comments(content: Column, language: Column) -> Column:
-    """Arrow-batched: comment marks inside strings need a scanner, which no built-in expression is."""
+    """Arrow-batched: comment marks inside strings need a lexer, which no built-in expression is."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
