@@ -1,15 +1,13 @@
 """Source files that are no valid text of their language.
 
-Each distinct text is parsed once by the error-correcting chart parser of its language.  A text of cost zero parses; any other is flagged.
-Where Python's standard library has the language's own parser, flagged texts are confirmed by it.
+Each text is read by the error-correcting chart parser of its language and flagged if its repair costs anything; that much needs only the
+chart's zero-cost level.  The repair itself, with its least cost, is worked out for the flagged texts alone.
 """
 
 from __future__ import annotations
 
-import ast
-import json
+import hashlib
 import re
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,26 +37,9 @@ def grammar_name(language: Column, path: Column) -> Column:
     )
 
 
-def _confirmed(language: str, text: str) -> bool:
-    """Whether the language's own parser, where there is one, also rejects the text."""
-    try:
-        if language == "python":
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text.lstrip("﻿"))
-            return False
-        if language == "json":
-            json.loads(text.lstrip("﻿"), parse_constant=float)
-            return re.search(r"\b(?:NaN|Infinity)\b", text) is not None
-    except RecursionError:
-        return True  # too deep for that parser: the chart's verdict stands
-    except (SyntaxError, ValueError, MemoryError):
-        return True
-    return True
-
-
 def rejected(language: str, text: str) -> bool:
-    return parser(language).run(tokens(language, text))[0] >= 0 and _confirmed(language, text)
+    """Whether the text's repair costs anything: the chart is searched at cost zero only, where it needs no edits."""
+    return not parser(language).parses(tokens(language, text))
 
 
 def diagnose(language: str, text: str) -> tuple[int, bool, str, str | None, list[int]]:
@@ -69,7 +50,7 @@ def diagnose(language: str, text: str) -> tuple[int, bool, str, str | None, list
     """
     parsed = tokens(language, text)
     repair = parser(language).repair(parsed)
-    cut = parser(language).run(parsed)[0] == len(parsed.kinds) - 1
+    cut = parser(language).stop(parsed) == len(parsed.kinds) - 1
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     at = sorted({e.line for e in repair.edits})
     other = next((o for o in LANGUAGES if o not in (language, "yaml") and parser(o).parses(tokens(o, text))), None)
@@ -86,33 +67,43 @@ def diagnose(language: str, text: str) -> tuple[int, bool, str, str | None, list
     return repair.cost, not repair.complete, kind, other, at
 
 
-def current_files(sources: DataFrame) -> DataFrame:
-    """One row per file_id: its last ingested repo, language and text with the text's digest."""
-    rows = sources.where("file_id IS NOT NULL").select(
-        F.col("file_id").cast("long"),
-        "repo",
-        grammar_name(F.col("language"), F.col("path")).alias("language"),
-        F.col("content").cast("string").alias("content"),
-        F.sha2(F.col("content").cast("string"), 256).alias("digest"),
-        "ingested_at",
-    )
-    return rows
+_REMEMBERED = 200_000  # verdicts a task remembers, 16 bytes of digest each
+
 
+def judged_files(sources: DataFrame, with_text: bool = False) -> DataFrame:
+    """``(file_id, repo, language, digest, broken, ingested_at)`` of every delivered row; ``content`` of broken ones if wanted.
 
-def flagged_texts(files: DataFrame) -> DataFrame:
-    """``(language, digest)`` of the distinct texts that do not parse."""
+    Texts are judged where they are read, so no text is shuffled; a task parses a text that it meets again, as copies do, once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        verdicts: dict[bytes, bool] = {}
         for b in batches:
-            keep = [
-                text is not None and rejected(language, text)
-                for language, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["language", "digest"]).filter(pa.array(keep, pa.bool_()))
+            digests, broken, kept = [], [], []
+            for language, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                digest, bad = None, False
+                if text is not None and language is not None:
+                    digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16, person=language.encode()).digest()
+                    known = verdicts.get(digest)
+                    if known is None:
+                        if len(verdicts) >= _REMEMBERED:
+                            verdicts.clear()
+                        known = verdicts[digest] = rejected(language, text)
+                    bad = known
+                digests.append(digest)
+                broken.append(bad)
+                kept.append(text if bad else None)
+            columns = [b.column(0), b.column(1), b.column(2), b.column(4), pa.array(digests, pa.binary()), pa.array(broken, pa.bool_())]
+            names = ["file_id", "repo", "language", "ingested_at", "digest", "broken"]
+            if with_text:
+                columns, names = [*columns, pa.array(kept, pa.string())], [*names, "content"]
+            yield pa.record_batch(columns, names)
 
-    # copies fold to one text before the parse; a text shared by a third of all files is one row here
-    distinct = files.where("language IS NOT NULL AND content IS NOT NULL").groupBy("language", "digest").agg(F.any_value("content").alias("content"))
-    return distinct.select("language", "digest", "content").mapInArrow(run, "language string, digest string")
+    rows = sources.where("file_id IS NOT NULL").select(
+        F.col("file_id").cast("long"), F.col("repo").cast("string"), grammar_name(F.col("language"), F.col("path")).alias("language"), F.col("content").cast("string"), F.col("ingested_at").cast("timestamp")
+    )
+    schema = "file_id long, repo string, language string, ingested_at timestamp, digest binary, broken boolean"
+    return rows.mapInArrow(run, schema + ", content string" if with_text else schema)
 
 
 def broken_files(sources: DataFrame) -> DataFrame:
@@ -123,13 +114,7 @@ def broken_files(sources: DataFrame) -> DataFrame:
     table gives no rows; other columns are not read.
     """
     ship_package(sources.sparkSession)
-    files = current_files(sources)
-    ws = Workspace(sources.sparkSession, "parse")
-    bad = ws.put(flagged_texts(files)).withColumn("broken", F.lit(True))
-    heads = latest(files.drop("content"), ["file_id"], ["ingested_at"])
-    return heads.join(bad, ["language", "digest"], "left").select(
-        "file_id", "repo", "language", "digest", F.coalesce("broken", F.lit(False)).alias("broken")
-    )
+    return latest(judged_files(sources), ["file_id"], ["ingested_at"]).drop("ingested_at")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,9 +129,11 @@ def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def repairs(sources: DataFrame) -> DataFrame:
-    """Cost, kind and edited lines of the repair of every broken file."""
-    files = current_files(sources)
-    broken = broken_files(sources).where("broken").select("file_id", "repo", "language", "digest")
+    """Cost, kind and edited lines of the repair of every broken file; only broken texts are shuffled, each once."""
+    ship_package(sources.sparkSession)
+    ws = Workspace(sources.sparkSession, "parse")
+    judged = ws.put(judged_files(sources, with_text=True))
+    broken = latest(judged.drop("content"), ["file_id"], ["ingested_at"]).where("broken").select("file_id", "repo", "language", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,10 +151,9 @@ def repairs(sources: DataFrame) -> DataFrame:
                 ["language", "digest", "cost", "at_least", "kind", "parses_as", "lines"],
             )
 
-    wanted = broken.select("language", "digest").dropDuplicates()
-    texts = files.join(wanted, ["language", "digest"], "left_semi").groupBy("language", "digest").agg(F.any_value("content").alias("content"))
+    texts = judged.where("broken").groupBy("language", "digest").agg(F.any_value("content").alias("content"))
     found = texts.select("language", "digest", "content").mapInArrow(
-        run, "language string, digest string, cost int, at_least boolean, kind string, parses_as string, lines array<int>"
+        run, "language string, digest binary, cost int, at_least boolean, kind string, parses_as string, lines array<int>"
     )
     return broken.join(found, ["language", "digest"]).drop("digest")
 

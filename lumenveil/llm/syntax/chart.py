@@ -11,6 +11,7 @@ import heapq
 from dataclasses import dataclass, field
 
 from lumenveil.llm.syntax.grammar import Network
+from lumenveil.llm.syntax.linear import LinearParser
 
 
 @dataclass
@@ -60,6 +61,7 @@ class Parser:
     def __init__(self, net: Network):
         self.net = net
         self._moves: dict[tuple[str, ...], list] = {}
+        self._linear = LinearParser(self, _guard)
 
     def _table(self, kinds: tuple[str, ...]) -> list:
         table = self._moves.get(kinds)
@@ -154,8 +156,12 @@ class Parser:
                     work.append(item)
         return work, following, done
 
+    def stop(self, tokens: Tokens) -> int:
+        """As ``run``, by tables of the steps met so far; only the position."""
+        return self._linear.stop(tokens)
+
     def parses(self, tokens: Tokens) -> bool:
-        return self.run(tokens)[0] < 0
+        return self.stop(tokens) < 0
 
     def repair(self, tokens: Tokens) -> Repair:
         """Repair of least cost over the whole text; the cost is zero exactly for texts that parse.

@@ -1,4 +1,4 @@
-"""YAML scanner: indentation and simple keys become block tokens."""
+"""YAML reader: indentation and simple keys become block tokens."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ class _Broken(Exception):
     """The text is no YAML from here on."""
 
 
-class _Scanner:
+class _BlockReader:
     def __init__(self, text: str):
         self.text = text
         self.n = len(text)
@@ -368,8 +368,8 @@ def yaml(text: str) -> Tokens:
     if text.startswith("﻿"):
         text = text[1:]
     out = Tokens()
-    scanner = _Scanner(text.replace("\r\n", "\n").replace("\r", "\n"))
-    for kind, line in scanner.run():
+    reader = _BlockReader(text.replace("\r\n", "\n").replace("\r", "\n"))
+    for kind, line in reader.run():
         out.add((kind,), line + 1)
-    out.add(("EOF",), scanner.line + 1, True)
+    out.add(("EOF",), reader.line + 1, True)
     return out

@@ -1,11 +1,14 @@
 import ast
 import json
+import random
 
 import pytest
 
 from lumenveil.llm.parse_errors import broken_files, diagnose, rejected, repairs
-from lumenveil.llm.syntax.chart import Tokens
+from lumenveil.llm.syntax import lexers
+from lumenveil.llm.syntax.chart import Tokens, _guard
 from lumenveil.llm.syntax.languages import LANGUAGES, language_of, parser, tokens
+from lumenveil.llm.syntax.linear import LinearParser
 
 GOOD = {
     "json": ['{"a": [1, -2.5e3, true, null], "b": {"c": "x\\n\\u00e9"}}', "[]", '"x"', "\ufeff{}"],
@@ -183,3 +186,51 @@ def test_operator_on_dirty_rows(spark):
     assert got == {1: False, 2: True, 3: True, 4: False, 5: False, 6: True, 7: False, 8: True}
     assert broken_files(spark.createDataFrame([], SCHEMA)).count() == 0
     assert {r["file_id"] for r in repairs(df).collect()} == {2, 3, 6, 8}
+
+
+def mutated(text, seed):
+    r = random.Random(seed)
+    at = r.randrange(len(text) + 1)
+    return text[:at] + r.choice(["", "(", "}", '"', "`", "/", "\n", " 1", "=", "<", "é", "\\"]) + text[at + r.choice([0, 1, 3]) :]
+
+
+@pytest.mark.parametrize("language", LANGUAGES)
+def test_tables_stop_where_the_chart_stops(language):
+    p = parser(language)
+    for k, text in enumerate([*GOOD[language], *BAD[language]]):
+        for variant in [text, *[mutated(text, 100 * k + j) for j in range(12)]]:
+            t = tokens(language, variant)
+            assert p.stop(t) == p.run(t)[0], variant
+
+
+def test_tables_start_afresh_when_full():
+    p = parser("json")
+    small = LinearParser(p, _guard, most=1)
+    for text in (*GOOD["json"], *BAD["json"], "[[[1, {}], 2]]"):
+        t = tokens("json", text)
+        assert small.stop(t) == p.run(t)[0]
+
+
+def test_lines_remembered_give_the_same_tokens():
+    for language, lex in (("javascript", lambda t: lexers._javascript(t, None)[0]), ("python", lambda t: lexers._python(t, None)), ("json", lambda t: lexers._json(t, None))):
+        for k, text in enumerate(t for t in [*GOOD[language], *BAD[language]] if not t.startswith("#!")):
+            for variant in [text, *[mutated(text, 7 * k + j) for j in range(8)]]:
+                a, b = tokens(language, variant), lex(lexers.clean(variant))
+                assert (a.kinds, a.breaks) == (b.kinds, b.breaks), variant
+
+
+def test_very_deep_texts():
+    assert rejected("json", "[" * 200_000) and not rejected("json", "[" * 200_000 + "]" * 200_000)
+
+
+def test_one_deleted_token_costs_one():
+    for language in ("json", "python", "javascript", "go"):
+        p = parser(language)
+        for n, text in enumerate(GOOD[language]):
+            whole = tokens(language, text)
+            r = random.Random(n)
+            for _ in range(4):
+                at = r.randrange(len(whole.kinds))
+                cut = Tokens(*[[x for i, x in enumerate(column) if i != at or len(whole.kinds) - 1 == at] for column in (whole.kinds, whole.lines, whole.breaks)])
+                if not p.parses(cut):
+                    assert p.repair(cut).cost == 1
