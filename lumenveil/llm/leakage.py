@@ -1,9 +1,9 @@
 """Passages of held-out items inside a corpus, found by spaced-seed hashing.
 
-Fixed masks ignore some positions of a window of words, so a misspelt, dropped or added word
-spoils few of the windows around it.  Window hashes that belong to exactly one item are looked up in every
-document; around a hit the words are compared one by one with a tolerance for single edits, and the length of
-the stretch decides.
+Fixed masks ignore some positions of a window of words, so a misspelt, replaced, dropped or added word
+spoils few of the windows around it.  The corpus is hashed once; a bitmap of the items' window hashes lets few windows
+through, and those are joined with the items' windows.  Around a hit the words of the whole document are compared one by one with a tolerance
+for single edits, and the length of the stretch decides.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenveil.llm.words import masked_windows, normalise, word_batch, words_of
+from lumenveil.llm.words import masked_windows, mix, normalise, word_batch, words_of
 from lumenveil.shipping import ship_package
 from lumenveil.tables import table
 from lumenveil.workspace import Workspace
@@ -27,19 +27,22 @@ class LeakRule:
     """What counts as a leaked passage.
 
     ``min_words`` consecutive words of the item in one stretch; words inside runs of ``shared_run`` or more words
-    that several items have in common are not counted.  ``masks`` are the word positions each seed looks at.
-    ``context`` words on either side of the hits are compared.  ``block`` is the number of item hashes held
-    in memory at once (16 bytes each); a larger set of items is run in several blocks over all documents.
+    that items of different wording have in common are not counted.  ``masks`` are the word positions each seed looks at.  A word replaced by a
+    different one is passed over where ``flank`` matching words stand on either side of it: between fewer it is a template with other fillers.
+    A document and an item are compared if they share ``support`` windows in nearly one alignment, all within ``min_words`` and two words of the document: twenty words share
+    44, and twelve at least where two words were added or dropped.  ``salt`` copies of each seed spread the corpus windows of a hot seed.
     """
 
     min_words: int = 20
     shared_run: int = 12
     masks: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6))
-    context: int = 160
-    block: int = 2_000_000
+    flank: int = 8
+    support: int = 8
+    salt: int = 8
 
 
 _CHUNK = 1 << 20  # characters hashed at once
+_MOST_BITS = 28  # a bitmap takes 32 MB at most, however many hashes it stands for
 
 
 def _chunks(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list[str]]]:
@@ -58,114 +61,127 @@ def _chunks(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list[str
         yield some_ids, some
 
 
-def item_seeds(items: DataFrame, rule: LeakRule) -> DataFrame:
-    """``(h, item_id, pos)`` of the seeds that belong to exactly one item."""
-    masks = rule.masks
+def _bitmap(hashes: DataFrame, count: int) -> np.ndarray:
+    """Bits set at the upper bits of ``h``, a thousand bits a hash as far as ``_MOST_BITS`` allow; summed up by the executors."""
+    bits = min(_MOST_BITS, max(16, (1024 * max(count, 1)).bit_length()))
+    place = F.shiftrightunsigned("h", 64 - bits)
+    words = hashes.select(place.alias("p")).selectExpr("p >> 6 AS w", "shiftleft(CAST(1 AS BIGINT), CAST(p & 63 AS INT)) AS m")
+    rows = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[rows.column("w").to_numpy()] = rows.column("m").to_numpy()
+    return out.view(np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _passes(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h >> np.uint64(64 - (len(bitmap).bit_length() + 5))
+    return ((bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def item_classes(items: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """``(cls, words)`` of the distinct wordings and ``(cls, item_id)``: items of equal words are one class."""
+
+    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, texts in _chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                wb = word_batch(texts)
-                first = np.searchsorted(wb.text, np.arange(len(texts)))
-                owner = np.asarray(ids, np.int64)
-                for k, mask in enumerate(masks):
-                    at, h = masked_windows(wb, mask, k)
-                    t = wb.text[at]
-                    yield pa.record_batch(
-                        [pa.array(h.view(np.int64)), pa.array(owner[t]), pa.array((at - first[t]).astype(np.int32))],
-                        ["h", "item_id", "pos"],
-                    )
-
-    seeds = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "h long, item_id long, pos int")
-    return (
-        seeds.groupBy("h")
-        .agg(F.min("item_id").alias("item_id"), F.max("item_id").alias("_other"), F.collect_set("pos").alias("_at"))
-        .where("item_id = _other")
-        .select("h", "item_id", F.explode("_at").alias("pos"))
-    )
+            texts = [" ".join(words_of(normalise(t))) for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], ["item_id", "words"])
+
+    rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string")).dropDuplicates()
+    named = ws.put(rows.mapInArrow(normal, "item_id long, words string").where("words <> ''"))
+    # numbers are written out, so a lost executor cannot change them
+    classes = ws.put(named.select("words").dropDuplicates().withColumn("cls", F.monotonically_increasing_id()))
+    return classes, ws.put(named.join(classes, "words").select("cls", "item_id").dropDuplicates())
+
 
+def shared_words(classes: DataFrame, run: int) -> DataFrame:
+    """``(cls, words, common)``: a wording and the starts of its runs of ``run`` words that other wordings have too."""
 
-def shared_words(items: DataFrame, run: int) -> DataFrame:
-    """``(item_id, words, common)``: an item's words and which of them lie in wording of several items."""
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = tuple(range(run))
         for b in batches:
-            for ids, texts in _chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                wb = word_batch(texts)
-                first = np.searchsorted(wb.text, np.arange(len(texts)))
-                owner = np.asarray(ids, np.int64)
-                at, h = masked_windows(wb, mask, 77)
-                t = wb.text[at]
-                yield pa.record_batch(
-                    [pa.array(h.view(np.int64)), pa.array(owner[t]), pa.array((at - first[t]).astype(np.int32))],
-                    ["h", "item_id", "pos"],
-                )
+            ids, texts = np.asarray(b.column(0).to_numpy()), b.column(1).to_pylist()
+            wb = word_batch(texts)
+            at, h = masked_windows(wb, mask, 77)
+            t = wb.text[at]
+            first = np.searchsorted(wb.text, np.arange(len(texts)))
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(ids[t]), pa.array((at - first[t]).astype(np.int32))], ["h", "cls", "pos"])
 
-    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    grams = classes.select("cls", "words").mapInArrow(windows, "h long, cls long, pos int")
+    common = grams.groupBy("h").agg(F.min("cls").alias("_a"), F.max("cls").alias("_b")).where("_a <> _b").select("h")
+    where = grams.join(common, "h", "left_semi").groupBy("cls").agg(F.sort_array(F.collect_set("pos")).alias("common"))
+    return classes.join(where, "cls", "left").select("cls", "words", "common")
+
+
+def item_seeds(known: DataFrame, rule: LeakRule) -> DataFrame:
+    """``(h, cls, pos)`` of every window of a wording, but for windows of shared words alone."""
+    masks, run_length = rule.masks, rule.shared_run
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [" ".join(words_of(normalise(t or ""))) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], ["item_id", "words"])
+            for cls, words, common in zip(*(b.column(c).to_pylist() for c in ("cls", "words", "common"))):
+                wb = word_batch([words])
+                own = np.ones(len(wb.value), bool)
+                for p in common or ():
+                    own[p : p + run_length] = False
+                for k, mask in enumerate(masks):
+                    at, h = masked_windows(wb, mask, k)
+                    keep = own[at[:, None] + np.asarray(mask)].any(axis=1)  # at least one word looked at counts
+                    at, h = at[keep], h[keep]
+                    yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.full(len(at), cls, np.int64)), pa.array(at.astype(np.int32))], ["h", "cls", "pos"])
 
-    plain = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    grams = plain.mapInArrow(windows, "h long, item_id long, pos int")
-    common = grams.groupBy("h").agg(F.min("item_id").alias("_a"), F.max("item_id").alias("_b")).where("_a <> _b").select("h")
-    where = grams.join(common, "h", "left_semi").groupBy("item_id").agg(F.sort_array(F.collect_set("pos")).alias("common"))
-    return plain.mapInArrow(normal, "item_id long, words string").join(where, "item_id", "left")
+    return known.select("cls", "words", "common").mapInArrow(run, "h long, cls long, pos int")
 
 
-def candidate_regions(documents: DataFrame, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], rule: LeakRule) -> DataFrame:
-    """``(doc_id, item_id, region, at, pos)``: stretches of documents around hits, one hit per run of an alignment and 16 words."""
-    order = np.argsort(seeds[0])
-    spark = documents.sparkSession
-    bits = 22
-    table_ = spark.sparkContext.broadcast(tuple(s[order] for s in seeds))
-    masks, context = rule.masks, rule.context
+def corpus_windows(documents: DataFrame, bitmap: np.ndarray, rule: LeakRule) -> DataFrame:
+    """``(h, doc_id, at)`` of the windows of all documents that the bitmap lets through, where they stand close enough to matter."""
+    table_ = documents.sparkSession.sparkContext.broadcast(bitmap)
+    masks, span, support = rule.masks, rule.min_words + 2, rule.support
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, item, pos = table_.value
-        passing = np.zeros(1 << bits, bool)
-        passing[(known >> np.uint64(64 - bits)).astype(np.int64)] = True
+        bits = table_.value
         for b in batches:
-            out: dict[str, list] = {"doc_id": [], "item_id": [], "region": [], "at": [], "pos": []}
             for ids, texts in _chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 wb = word_batch(texts)
-                ats, rows = [], []
+                first = np.searchsorted(wb.text, np.arange(len(texts)))
+                places, hashes = [], []
                 for k, mask in enumerate(masks):
                     at, h = masked_windows(wb, mask, k)
-                    maybe = np.flatnonzero(passing[(h >> np.uint64(64 - bits)).astype(np.int64)])
-                    low, high = np.searchsorted(known, h[maybe]), np.searchsorted(known, h[maybe], side="right")
-                    times = high - low  # a seed stands once for each of its positions
-                    ats.append(np.repeat(at[maybe], times))
-                    rows.append(np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum()))
-                at, row = np.concatenate(ats), np.concatenate(rows)
-                if not len(at):
-                    continue
-                # hits of one alignment at consecutive words lie in one stretch: the first counts, and every 16th word of a long run
-                shift = at - pos[row]
-                key = np.lexsort((at, shift, item[row], wb.text[at]))
-                at, row, shift = at[key], row[key], shift[key]
-                start = np.ones(len(at), bool)
-                start[1:] = (wb.text[at[1:]] != wb.text[at[:-1]]) | (item[row[1:]] != item[row[:-1]]) | (shift[1:] != shift[:-1]) | (at[1:] > at[:-1] + 1)
-                again = np.zeros(len(at), bool)
-                again[1:] = ~start[1:] & (at[1:] == at[:-1])
-                new = ((at - at[np.flatnonzero(start)][np.cumsum(start) - 1]) % 16 == 0) & ~again
-                for a, r in zip(at[new].tolist(), row[new].tolist()):
-                    t = int(wb.text[a])
-                    lo = max(a - context, int(np.searchsorted(wb.text, t)))
-                    hi = min(a + context, int(np.searchsorted(wb.text, t, side="right")) - 1)
-                    out["doc_id"].append(ids[t])
-                    out["item_id"].append(int(item[r]))
-                    out["region"].append(wb.slice(lo, hi))
-                    out["at"].append(a - lo)
-                    out["pos"].append(int(pos[r]))
-            yield pa.record_batch(
-                [pa.array(out["doc_id"], pa.int64()), pa.array(out["item_id"], pa.int64()), pa.array(out["region"], pa.string()),
-                 pa.array(out["at"], pa.int32()), pa.array(out["pos"], pa.int32())],
-                list(out),
-            )
-
-    rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, item_id long, region string, at int, pos int")
+                    keep = np.flatnonzero(_passes(bits, h))
+                    places.append(at[keep])
+                    hashes.append(h[keep])
+                at, h = np.concatenate(places), np.concatenate(hashes)
+                order = np.argsort(at, kind="stable")
+                at, h = at[order], h[order]
+                # windows in some stretch of ``span`` words with ``support`` of them
+                here = np.arange(len(at))
+                beyond = np.searchsorted(at, at + span)
+                dense = beyond - here >= support
+                edges = np.zeros(len(at) + 1, np.int64)
+                np.add.at(edges, here[dense], 1)
+                np.add.at(edges, beyond[dense], -1)
+                keep = np.cumsum(edges[:-1]) > 0
+                at, h = at[keep], h[keep]
+                t = wb.text[at]
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.asarray(ids, np.int64)[t]), pa.array((at - first[t]).astype(np.int32))], ["h", "doc_id", "at"])
+
+    return documents.mapInArrow(run, "h long, doc_id long, at int")
+
+
+def _with_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents that a bitmap of the ids lets through; the rest is not shuffled."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([pa.array(mix(b.column(0).to_numpy().astype(np.uint64)).view(np.int64))], ["h"])
+
+    known = ids.select("doc_id")
+    table_ = documents.sparkSession.sparkContext.broadcast(_bitmap(known.mapInArrow(hashed, "h long"), known.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table_.value
+        for b in batches:
+            yield b.filter(pa.array(_passes(bits, mix(b.column(0).to_numpy().astype(np.uint64)))))
+
+    return documents.mapInArrow(run, "doc_id long, text string")
 
 
 def same_word(a: str, b: str) -> bool:
@@ -186,101 +202,113 @@ def same_word(a: str, b: str) -> bool:
 
 
 #: Words skipped in (item, document) where they part; the fewest first.
-_SKIPS = ((1, 1), (0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1), (0, 3), (3, 0))
+_SKIPS = ((0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1), (0, 3), (3, 0))
 
 
-def extend(item: list[str], doc: list[str], i: int, d: int, step: int) -> tuple[int, int]:
-    """Walk from a matching pair in one direction; the last matching item position and the item words dropped.
+def _run(item: list[str], doc: list[str], i: int, d: int, step: int, most: int) -> int:
+    """Matching words in a row from a pair of positions, counted up to ``most``."""
+    n, m, score = len(item), len(doc), 0
+    while score < most and 0 <= i < n and 0 <= d < m and same_word(item[i], doc[d]):
+        score += 1
+        i += step
+        d += step
+    return score
 
-    A word replaced by a different one ends the stretch; misspelt, added and dropped words do not.
+
+def extend(item: list[str], doc: list[str], i: int, d: int, step: int, flank: int = 8) -> tuple[int, int]:
+    """Walk from a matching pair in one direction; the last matching position in the item and in the document.
+
+    Misspelt, added and dropped words are passed over, and a replaced word with ``flank`` matching words in a row on either side.
     """
-    last, n, m = i, len(item), len(doc)
-    lost = dropped = 0
+    last, n, m = (i, d), len(item), len(doc)
+    since = 1 + _run(item, doc, i - step, d - step, -step, flank)  # matching words since the last replaced one
     while True:
         i += step
         d += step
         if not (0 <= i < n and 0 <= d < m):
-            return last, dropped
+            return last
         if same_word(item[i], doc[d]):
-            last = i
-            dropped += lost
-            lost = 0
+            last = (i, d)
+            since += 1
             continue
         best, gain = None, 1
-        for si, sd in _SKIPS[1:]:
-            a, b, score = i + si * step, d + sd * step, 0
-            for _ in range(4):
-                if not (0 <= a < n and 0 <= b < m and same_word(item[a], doc[b])):
-                    break
-                score += 1
-                a += step
-                b += step
+        for si, sd in _SKIPS:
+            score = _run(item, doc, i + si * step, d + sd * step, step, 4)
             if score > gain + (si > 0 and sd > 0):
                 best, gain = (si, sd), score
+        if best is None and since >= flank and _run(item, doc, i + step, d + step, step, flank) >= flank:
+            best, since = (1, 1), 0
         if best is None:
-            return last, dropped
-        lost += best[0]
+            return last
         i += (best[0] - 1) * step
         d += (best[1] - 1) * step
 
 
-def overlap(item: list[str], common: set[int], doc: list[str], i: int, d: int) -> int:
-    """Item words in the stretch through ``item[i]``, ``doc[d]``, without wording several items share."""
-    left, _ = extend(item, doc, i, d, -1)
-    right, _ = extend(item, doc, i, d, 1)
-    return sum(1 for k in range(left, right + 1) if k not in common)
+def stretches(item: list[str], common: set[int], doc: list[str], hits: list[tuple[int, int]], flank: int = 8) -> int:
+    """Most item words in one stretch through any of the hits ``(pos, at)``, without wording that items share."""
+    best = 0
+    done: list[tuple[int, int, int, int]] = []
+    for i, d in sorted(hits, key=lambda h: h[1]):
+        if i >= len(item) or d >= len(doc) or not same_word(item[i], doc[d]):
+            continue
+        if any(a <= i <= b and x <= d <= y and abs((i - a) - (d - x)) <= 3 for a, b, x, y in done[-8:]):
+            continue  # inside a stretch already measured
+        a, x = extend(item, doc, i, d, -1, flank)
+        b, y = extend(item, doc, i, d, 1, flank)
+        done.append((a, b, x, y))
+        best = max(best, sum(1 for k in range(a, b + 1) if k not in common))
+    return best
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, rule: LeakRule = LeakRule()) -> DataFrame:
     """``(doc_id, item_id, words)``: documents that hold a passage of an item, and its longest stretch there.
 
+    Items of equal wording all leak where one does; only wording that differently worded items share does not count.
+
     Defined cases: null or empty texts hold nothing; a null id is ignored; repeated rows give one result; other columns
     are not read; with no items or no documents the result is empty.
     """
     spark = documents.sparkSession
     ship_package(spark)
     ws = Workspace(spark, "leakage")
-    items = items.where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["item_id", "text"])
-    seeds = ws.put(item_seeds(items, rule))
-    count = seeds.count()
-    blocks = -(-count // rule.block)
-    regions: DataFrame | None = None
-    for k in range(blocks):
-        part = seeds if blocks == 1 else seeds.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        rows = part.toArrow()
-        arrays = (
-            rows.column("h").to_numpy().view(np.uint64),
-            rows.column("item_id").to_numpy(),
-            rows.column("pos").to_numpy(),
-        )
-        found = candidate_regions(documents, arrays, rule)
-        regions = found if regions is None else regions.unionByName(found)
-    if regions is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, words int")
-    known = ws.put(shared_words(items, rule.shared_run))
-    run_length, least = rule.shared_run, rule.min_words
+    classes, members = item_classes(items, ws)
+    known = ws.put(shared_words(classes, rule.shared_run))
+    seeds = ws.put(item_seeds(known, rule))
+    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    windows = corpus_windows(texts, _bitmap(seeds, seeds.count()), rule)
+    # a seed in a third of all documents is met by several tasks
+    salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(rule.salt - 1))))
+    met = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(rule.salt)).cast("int")).join(salted, ["h", "salt"])
+    # one hit per alignment and 16 words of the item
+    hits = met.groupBy("doc_id", "cls", (F.col("at") - F.col("pos")).alias("shift"), F.shiftright("pos", 4).alias("part")).agg(
+        F.min("pos").alias("pos"), F.count("*").alias("n")
+    )
+    hits = ws.put(hits)
+    # alignments within a few words of each other, in overlapping blocks of eight
+    block = F.explode(F.array(2 * F.shiftright("shift", 3), 2 * F.shiftright(F.col("shift") + 4, 3) + 1)).alias("block")
+    close = hits.select("doc_id", "cls", "n", block).groupBy("doc_id", "cls", "block").agg(F.sum("n").alias("n")).where(F.col("n") >= rule.support)
+    close = ws.put(close.select("doc_id", "cls").dropDuplicates())
+    per_class = hits.join(close, ["doc_id", "cls"]).groupBy("doc_id", "cls").agg(F.collect_list(F.struct("pos", (F.col("shift") + F.col("pos")).alias("at"))).alias("hits"))
+    wanted = per_class.join(known, "cls").groupBy("doc_id").agg(F.collect_list(F.struct("cls", "words", "common", "hits")).alias("candidates"))
+    run_length, least, flank = rule.shared_run, rule.min_words, rule.flank
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, list[str]] = {}
         for b in batches:
-            ids, item_ids, stretch = [], [], []
-            cols = [b.column(c).to_pylist() for c in ("doc_id", "item_id", "region", "at", "pos", "words", "common")]
-            for doc_id, item_id, region, at, pos, words, runs in zip(*cols):
-                item = cache.get(words)
-                if item is None:
-                    item = cache[words] = words.split()
-                    if len(cache) > 4096:
-                        cache.clear()
-                common = {p + q for p in runs or () for q in range(run_length)}
-                n = overlap(item, common, words_of(region), pos, at)
-                if n >= least:
-                    ids.append(doc_id)
-                    item_ids.append(item_id)
-                    stretch.append(n)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(item_ids, pa.int64()), pa.array(stretch, pa.int32())], ["doc_id", "item_id", "n"])
-
-    joined = regions.join(known, "item_id").select("doc_id", "item_id", "region", "at", "pos", "words", "common")
-    return joined.mapInArrow(verify, "doc_id long, item_id long, n int").groupBy("doc_id", "item_id").agg(F.max("n").alias("words"))
+            ids, found, length = [], [], []
+            for doc_id, text, candidates in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "candidates"))):
+                doc = words_of(normalise(text))
+                for c in candidates:
+                    common = {p + q for p in c["common"] or () for q in range(run_length)}
+                    n = stretches(c["words"].split(" "), common, doc, [(h["pos"], h["at"]) for h in c["hits"]], flank)
+                    if n >= least:
+                        ids.append(doc_id)
+                        found.append(c["cls"])
+                        length.append(n)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.int64()), pa.array(length, pa.int32())], ["doc_id", "cls", "n"])
+
+    read = _with_ids(texts, close.select("doc_id").dropDuplicates()).join(wanted, "doc_id").select("doc_id", "text", "candidates")
+    leaks = read.mapInArrow(verify, "doc_id long, cls long, n int")
+    return leaks.join(members, "cls").groupBy("doc_id", "item_id").agg(F.max("n").alias("words"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

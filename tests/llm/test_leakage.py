@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lumenveil.llm.leakage import LeakRule, leaked_items, same_word
+from lumenveil.llm.leakage import leaked_items, same_word
 from lumenveil.llm.words import masked_windows, normalise, word_batch, words_of
 
 RNG = random.Random(7)
@@ -58,11 +58,26 @@ def test_passages(spark, items):
     assert got == {(1, 2), (2, 4), (3, 5), (6, 8), (7, 10), (11, 1), (12, 12)}
 
 
-def test_blocks_of_items_give_the_same(spark, items):
+def test_items_listed_twice_are_all_found(spark, items):
     texts = {i: filler(i) + " " + " ".join(ITEMS[i][2:32]) for i in (1, 2, 4, 5)}
-    whole = {tuple(r) for r in leaked_items(docs(spark, texts), items).collect()}
-    split = {tuple(r) for r in leaked_items(docs(spark, texts), items, LeakRule(block=300)).collect()}
-    assert whole == split and {(d, i) for d, i, _ in whole} == {(i, i) for i in texts}
+    twice = items.unionByName(items.where("item_id < 50").selectExpr("item_id + 100 AS item_id", "upper(text) AS text", "doc_id"))
+    assert {(d, i) for d, i, _ in leaked_items(docs(spark, texts), twice).collect()} == {(i, i + k) for i in texts for k in (0, 100)}
+
+
+def test_replaced_words(spark, items):
+    two, many = list(ITEMS[2]), list(ITEMS[4])
+    two[13] = two[27] = "replacedword"
+    many[5::6] = ["replacedword"] * len(many[5::6])  # a template with other fillers
+    found = leaked_items(docs(spark, {1: filler(1) + " " + " ".join(two) + " " + filler(2), 2: " ".join(many)}), items).collect()
+    assert [tuple(r) for r in found] == [(1, 2, 40)]
+
+
+def test_wording_shared_in_short_runs_counts(spark):
+    a, b, c = text(9, 501), text(9, 502), text(9, 503)
+    wordings = {1: a + b + c, 2: a + text(10, 504), 3: text(8, 505) + b, 4: c + text(9, 506)}  # every run of item 1 stands in another item too
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in wordings.items()], "item_id long, text string")
+    found = leaked_items(docs(spark, {7: filler(3) + " " + " ".join(a + b + c)}), items).collect()
+    assert [tuple(r) for r in found] == [(7, 1, 27)]
 
 
 def test_empty_tables(spark, items):
@@ -71,6 +86,11 @@ def test_empty_tables(spark, items):
     assert leaked_items(docs(spark, {1: filler(1)}), items.where("false")).count() == 0
 
 
+def test_long_repetitive_text(spark, items):
+    texts = {1: " ".join((ITEMS[2][:9] + ["x1", "y2", "z3"]) * 3000 + ITEMS[2][3:30])}
+    assert [tuple(r) for r in leaked_items(docs(spark, texts), items).collect()] == [(1, 2, 27)]
+
+
 @pytest.mark.parametrize("a,b,want", [("word", "word", True), ("word", "wrod", True), ("word", "wor", True), ("word", "wordx", True), ("word", "ward", True), ("cat", "dog", False), ("12", "13", False), ("a", "b", False), ("abcd", "dcba", False)])
 def test_same_word(a, b, want):
     assert same_word(a, b) is want and same_word(b, a) is want
