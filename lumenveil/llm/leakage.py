@@ -29,8 +29,10 @@ class LeakRule:
     ``min_words`` consecutive words of the item in one stretch; words inside runs of ``shared_run`` or more words
     that items of different wording have in common are not counted.  ``masks`` are the word positions each seed looks at.  A word replaced by a
     different one is passed over where ``flank`` matching words stand on either side of it: between fewer it is a template with other fillers.
-    A document and an item are compared if they share ``support`` windows in nearly one alignment, all within ``min_words`` and two words of the document: twenty words share
-    44, and twelve at least where two words were added or dropped.  ``salt`` copies of each seed spread the corpus windows of a hot seed.
+    A document and an item are compared if windows of weight ``support`` stand in nearly one alignment, within ``min_words`` and two words of the
+    document.  A window of ``solid`` words in a row weighs that much alone, and twenty words with two edits hold six in a row.  A window with gaps weighs
+    one, and nothing where more than ``common`` wordings have it, as a template with other fillers in its gaps does.
+    ``salt`` copies of each seed spread the corpus windows of a hot seed.
     """
 
     min_words: int = 20
@@ -38,8 +40,14 @@ class LeakRule:
     masks: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6))
     flank: int = 8
     support: int = 8
+    solid: int = 6
+    common: int = 4
     salt: int = 8
 
+    def weighted(self) -> list[tuple[int, tuple[int, ...], int]]:
+        """(number, mask, weight) of all masks."""
+        return [*((k, m, 1) for k, m in enumerate(self.masks)), (len(self.masks), tuple(range(self.solid)), self.support)]
+
 
 _CHUNK = 1 << 20  # characters hashed at once
 _MOST_BITS = 28  # a bitmap takes 32 MB at most, however many hashes it stands for
@@ -112,8 +120,8 @@ def shared_words(classes: DataFrame, run: int) -> DataFrame:
 
 
 def item_seeds(known: DataFrame, rule: LeakRule) -> DataFrame:
-    """``(h, cls, pos)`` of every window of a wording, but for windows of shared words alone."""
-    masks, run_length = rule.masks, rule.shared_run
+    """``(h, cls, pos, weight)`` of every window of a wording that weighs something, but for windows of shared words alone."""
+    masks, run_length = rule.weighted(), rule.shared_run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,19 +130,24 @@ def item_seeds(known: DataFrame, rule: LeakRule) -> DataFrame:
                 own = np.ones(len(wb.value), bool)
                 for p in common or ():
                     own[p : p + run_length] = False
-                for k, mask in enumerate(masks):
+                for k, mask, weight in masks:
                     at, h = masked_windows(wb, mask, k)
                     keep = own[at[:, None] + np.asarray(mask)].any(axis=1)  # at least one word looked at counts
                     at, h = at[keep], h[keep]
-                    yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.full(len(at), cls, np.int64)), pa.array(at.astype(np.int32))], ["h", "cls", "pos"])
+                    yield pa.record_batch(
+                        [pa.array(h.view(np.int64)), pa.array(np.full(len(at), cls, np.int64)), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), weight, np.int32))],
+                        ["h", "cls", "pos", "weight"],
+                    )
 
-    return known.select("cls", "words", "common").mapInArrow(run, "h long, cls long, pos int")
+    seeds = known.select("cls", "words", "common").mapInArrow(run, "h long, cls long, pos int, weight int")
+    owners = seeds.select("h", "cls").dropDuplicates().groupBy("h").agg(F.count("*").alias("owners"))
+    return seeds.join(owners, "h").where((F.col("weight") > 1) | (F.col("owners") <= rule.common)).drop("owners")
 
 
 def corpus_windows(documents: DataFrame, bitmap: np.ndarray, rule: LeakRule) -> DataFrame:
     """``(h, doc_id, at)`` of the windows of all documents that the bitmap lets through, where they stand close enough to matter."""
     table_ = documents.sparkSession.sparkContext.broadcast(bitmap)
-    masks, span, support = rule.masks, rule.min_words + 2, rule.support
+    masks, span, support = rule.weighted(), rule.min_words + 2, rule.support
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table_.value
@@ -142,19 +155,21 @@ def corpus_windows(documents: DataFrame, bitmap: np.ndarray, rule: LeakRule) ->
             for ids, texts in _chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 wb = word_batch(texts)
                 first = np.searchsorted(wb.text, np.arange(len(texts)))
-                places, hashes = [], []
-                for k, mask in enumerate(masks):
+                places, hashes, weights = [], [], []
+                for k, mask, weight in masks:
                     at, h = masked_windows(wb, mask, k)
                     keep = np.flatnonzero(_passes(bits, h))
                     places.append(at[keep])
                     hashes.append(h[keep])
+                    weights.append(np.full(len(keep), weight))
                 at, h = np.concatenate(places), np.concatenate(hashes)
                 order = np.argsort(at, kind="stable")
                 at, h = at[order], h[order]
-                # windows in some stretch of ``span`` words with ``support`` of them
+                # windows in some stretch of ``span`` words that weigh ``support`` together
+                before = np.concatenate([[0], np.cumsum(np.concatenate(weights)[order])])
                 here = np.arange(len(at))
                 beyond = np.searchsorted(at, at + span)
-                dense = beyond - here >= support
+                dense = before[beyond] - before[here] >= support
                 edges = np.zeros(len(at) + 1, np.int64)
                 np.add.at(edges, here[dense], 1)
                 np.add.at(edges, beyond[dense], -1)
@@ -281,7 +296,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, rule: LeakRule = LeakRu
     met = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(rule.salt)).cast("int")).join(salted, ["h", "salt"])
     # one hit per alignment and 16 words of the item
     hits = met.groupBy("doc_id", "cls", (F.col("at") - F.col("pos")).alias("shift"), F.shiftright("pos", 4).alias("part")).agg(
-        F.min("pos").alias("pos"), F.count("*").alias("n")
+        F.min("pos").alias("pos"), F.sum("weight").alias("n")
     )
     hits = ws.put(hits)
     # alignments within a few words of each other, in overlapping blocks of eight
