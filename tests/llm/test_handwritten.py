@@ -85,6 +85,35 @@ def test_propagation_is_exact_on_a_small_tree(spark):
     assert set(got) == set(want) and all(math.isclose(got[p], want[p], rel_tol=1e-9) for p in want)
 
 
+#: (path, text, truth): neighbours tell files without a notice of their own apart.
+NOTICE = "/*! leaflet v1.9.4 | (c) 2022 The Leaflet Contributors. MIT License. */\n"
+MADE = "// Code generated by protoc-gen-x v1.2. DO NOT EDIT.\n"
+TREE = [
+    *[(f"src/lib/leaflet/part{i}.ts", NOTICE + CODE, "vendored") for i in range(4)],
+    ("src/lib/leaflet/core.ts", CODE, "vendored"),
+    ("src/lib/leaflet/lost.ts", None, "vendored"),
+    *[(f"src/vendor/contact{i}.ts", CODE, "hand") for i in range(5)],
+    ("src/vendor/unread.ts", None, "hand"),
+    *[(f"internal/gen/m{i}.go", MADE + CODE, "generated") for i in range(5)],
+    ("internal/gen/late.go", "package m\n\nvar x = 1\n" + MADE + CODE, "generated"),
+    ("internal/gen/lost.go", None, "generated"),
+    *[(f"internal/mail/m{i}.go", CODE, "hand") for i in range(5)],
+    ("internal/mail/template.go", "package m\n\nvar x = 1\n" + MADE + CODE, "hand"),  # code about generated files among code
+    ("internal/mail/made.go", "package m\n\n" + MADE + CODE, "generated"),
+    *[(f"src/app/a{i}.ts", CODE, "hand") for i in range(6)],
+]
+
+
+def test_neighbours_decide(spark):
+    got = run(spark, [(1, [p for p, _, _ in TREE])], [(1, p, t, "typescript", "acme/portal") for p, t, _ in TREE if t is not None])
+    truth = {p: label for p, _, label in TREE}
+    together = sum(got[1, p] == truth[p] for p in truth)
+    # the same files, each in a scan of its own directory alone: nothing but their own evidence
+    alone = run(spark, [(k, [p]) for k, (p, _, _) in enumerate(TREE)], [(k, p, t, "typescript", "acme/portal") for k, (p, t, _) in enumerate(TREE) if t is not None])
+    apart = sum(alone[k, p] == label for k, (p, _, label) in enumerate(TREE))
+    assert together == len(TREE) and apart < len(TREE) - 3
+
+
 PAYLOADS = "scan_id long, files_scanned array<string>, file_path string, label string, e0 double"
 SOURCES = "scan_id long, path string, content string, language string, repo string, ingested_at timestamp, _path string, c0 string"
 
