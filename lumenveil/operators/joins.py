@@ -7,11 +7,36 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenveil.workspace import Workspace
+
 
 def _same(left: list[Column], right: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, [x == y for x, y in zip(left, right)])
 
 
+def hot_keys(rows: DataFrame, keys: list[str], ws: Workspace, least: int = 200_000, most: int = 100_000) -> DataFrame | None:
+    """Keys of more than ``least`` rows, at most the ``most`` hottest of them; None if there is no such key."""
+    found = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > least)
+    found = ws.put(found.orderBy(F.desc("_n")).limit(most).select(*keys))
+    return None if found.isEmpty() else found
+
+
+def spread(rows: DataFrame, lookup: DataFrame, keys: list[str], by: list[str], hot: DataFrame | None, copies: int = 64) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``(rows, lookup, join keys)`` with the rows of each hot key spread over ``copies`` parts and its lookup rows repeated in each.
+
+    The join's result is the same, without the column ``_salt``; ``by`` are columns of ``rows`` that tell rows of one key apart.  Only the hot
+    keys are broadcast, whose number ``hot_keys`` bounds.
+    """
+    if hot is None:
+        return rows, lookup, keys
+    marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(copies))).otherwise(F.lit(0)).cast("int")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(marks, keys, "left").withColumn("_salt", part).drop("_hot")
+    right = lookup.join(marks, keys, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    return left, right, [*keys, "_salt"]
+
+
 def overlap_join(
     left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: int = 256
 ) -> DataFrame:
@@ -90,12 +115,19 @@ def nearest_span_join(hits: DataFrame, spans: DataFrame, keys: list[str], line:
     return hits.join(per, keys, "left").select(*hits.columns, ranked["v"].alias(take), ranked["d"].alias("distance"))
 
 
-def first_match_join(rows: DataFrame, rules: DataFrame, matches: Column, order: str, take: list[str], key: list[str]) -> DataFrame:
-    """Each row with ``take`` of the first rule by ``order`` that matches, null without one; ``rules`` is a small catalog.
+def first_match_join(rows: DataFrame, rules: DataFrame, matches: Column, order: str, take: list[str], key: list[str], block: int = 10_000) -> DataFrame:
+    """Each row with ``take`` of the first rule by ``order`` that matches, null without one.
 
-    The catalog is broadcast only because catalogs are bounded by nature; its size is checked.
+    Rules are broadcast in blocks of at most ``block``; a larger catalog is run block by block, and the first match over all blocks counts.
     """
-    if rules.count() > 10_000:
-        raise ValueError("a rule catalog of more than 10,000 rows needs an equi-join on a key")
-    found = rows.join(F.broadcast(rules), matches).groupBy(*key).agg(F.min(F.struct(order, *take)).alias("_first"))
+    ws = Workspace(rows.sparkSession, "rules")
+    numbered = ws.put(rules.withColumn("_block", F.pmod(F.xxhash64(*rules.columns), F.lit(-(-rules.count() // block) or 1))))
+    sizes = numbered.groupBy("_block").count().agg(F.max("_block"), F.max("count")).first()
+    if (sizes[1] or 0) > 4 * block:
+        raise ValueError("rules repeat: more than four blocks of equal rows")
+    found: DataFrame | None = None
+    for k in range((sizes[0] or 0) + 1):
+        part = rows.join(F.broadcast(numbered.where(F.col("_block") == k).drop("_block")), matches).groupBy(*key).agg(F.min(F.struct(order, *take)).alias("_first"))
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy(*key).agg(F.min("_first").alias("_first"))
     return rows.join(found, key, "left").select(*rows.columns, *[F.col(f"_first.{c}").alias(c) for c in take])

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenveil.operators.intervals import merge_intervals
+from lumenveil.operators.joins import hot_keys, spread
 from lumenveil.workspace import Workspace
 
 DAY_US = 86_400_000_000
@@ -77,13 +78,17 @@ def _orphans_of_mask(rows: DataFrame, targets: DataFrame, on: list[str], ws: Wor
     t = targets.select(*on, "lf", "lt").where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on]))
     # one row per key, so a hot key on the reference side never multiplies
     known = ws.put(t.groupBy(*on).agg(F.min("lf").alias("first"), F.min(F.when(F.col("lt").isNull(), F.col("lf"))).alias("open")))
-    missing = rows.join(known.select(*on), on, "left_anti").select("row", F.lit("missing").alias("why"))
-    found = rows.where("at IS NOT NULL").join(known, on)
+    # references to a hot key are spread over several tasks
+    hot = hot_keys(rows, on, ws)
+    r, k, keys = spread(rows, known, on, ["at"], hot)
+    missing = r.join(k.select(*keys), keys, "left_anti").select("row", F.lit("missing").alias("why"))
+    found = r.where("at IS NOT NULL").join(k, keys).select("row", "at", "first", "open", *on)
     doubtful = found.where(F.col("open").isNull() | (F.col("at") < F.col("open")))
     closed = ws.put(merge_intervals(t.where("lt IS NOT NULL").withColumn("last", F.col("lt") - 1), on, "lf", "last", block=DAY_US))
-    closed = closed.select(*[F.col(c).alias(f"t_{c}") for c in on], "from_pos", "to_pos")
-    alive = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"t_{c}") for c in on])
+    d, c, keys = spread(doubtful, closed.select(*on, "from_pos", "to_pos"), on, ["at"], hot)
+    c = c.select(*[F.col(x).alias(f"t_{x}") for x in keys], "from_pos", "to_pos")
+    alive = reduce(lambda a, b: a & b, [F.col(x) == F.col(f"t_{x}") for x in keys])
     alive = alive & (F.col("at") >= F.col("from_pos")) & (F.col("at") <= F.col("to_pos"))
-    dead = doubtful.join(closed, alive, "left_anti")
+    dead = d.join(c, alive, "left_anti")
     why = F.when(F.col("first") > F.col("at"), F.lit("late")).otherwise(F.lit("deleted"))
     return missing.unionByName(dead.select("row", why.alias("why")))

@@ -167,7 +167,7 @@ targets AS (
 why AS (
   SELECT r.ref_table, r.ref_field, r.ref_id, r.ts,
          CASE WHEN count(t.id) = 0 THEN 'missing' WHEN min(t.loaded_at) > r.ts THEN 'late' ELSE 'deleted' END AS why
-  FROM refs r LEFT JOIN targets t ON t.ref_table = r.ref_table AND t.scan_id = r.scan_id AND t.id = r.id
+  FROM refs r LEFT JOIN targets t ON t.ref_table = r.ref_table AND (r.scan_id IS NULL OR t.scan_id = r.scan_id) AND t.id = r.id
   WHERE r.id IS NOT NULL
   GROUP BY r.ref_table, r.ref_field, r.ref_id, r.ts, r.scan_id, r.id
   HAVING coalesce(bool_or(t.loaded_at <= r.ts AND (t.removed_at IS NULL OR r.ts < t.removed_at)), false) = false)
@@ -176,5 +176,28 @@ why AS (
 P5_SQL = P5_BASE + "SELECT DISTINCT ref_table, ref_field, ref_id, why FROM why"
 P5_COUNTS_SQL = P5_BASE + "SELECT ref_table, strftime(make_timestamp(epoch_us(ts)), '%Y-%m') AS month, why, count(*) AS mentions FROM why GROUP BY ALL"
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_counts": p5_counts}
-SQL = {"p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_counts": P5_COUNTS_SQL}
+def status_references(spark: SparkSession, folder: str) -> DataFrame:
+    """Events refer to an earlier event of their issue by (issue, from_status); without a from_status they are matched on the issue alone.
+
+    A composite key with nulls: the first event of an issue has nothing before it, so it is an orphan; others without a from_status refer to any
+    earlier status of the issue.
+    """
+    events = table(spark, folder, "issue_events").select(
+        "event_id", "issue_id", status_label(F.col("payload.from_status")).alias("status"), status_label(F.col("payload.to_status")).alias("reached"), micros(F.col("occurred_at")).alias("at")
+    ).where("event_id IS NOT NULL AND issue_id IS NOT NULL").dropDuplicates()
+    targets = events.where("reached IS NOT NULL AND at IS NOT NULL").select("issue_id", F.col("reached").alias("status"), F.col("at").alias("live_from"), F.lit(None).cast("long").alias("live_to"))
+    refs = events.select("event_id", "issue_id", "status", "at")
+    return orphan_references(refs, targets, ["issue_id", "status"], ["issue_id"], "at", "live_from", "live_to", match="partial").select("event_id", "issue_id", "status", F.col("at").alias("at_us"), "why")
+
+
+_STATUS = r"""nullif(regexp_replace(regexp_replace(lower(regexp_replace(trim({c}), '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[\s_\-]+', '_', 'g'), '^_+|_+$', '', 'g'), '')"""
+STATUS_SQL = f"""
+WITH e AS (SELECT DISTINCT event_id, issue_id, {_STATUS.format(c='payload.from_status')} AS status, {_STATUS.format(c='payload.to_status')} AS reached, epoch_us(occurred_at) AS at_us
+           FROM issue_events WHERE event_id IS NOT NULL AND issue_id IS NOT NULL),
+t AS (SELECT issue_id, reached, min(at_us) AS since FROM e WHERE reached IS NOT NULL AND at_us IS NOT NULL GROUP BY ALL),
+j AS (SELECT e.*, (SELECT min(since) FROM t WHERE t.issue_id = e.issue_id AND (e.status IS NULL OR t.reached = e.status)) AS since FROM e)
+SELECT event_id, issue_id, status, at_us, CASE WHEN since IS NULL THEN 'missing' ELSE 'late' END AS why FROM j WHERE since IS NULL OR at_us < since
+"""
+
+QUERIES = {"p5_partial": status_references, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_counts": p5_counts}
+SQL = {"p5_partial": STATUS_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_counts": P5_COUNTS_SQL}
