@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ PLACEHOLDERS = ("", "-", "--", "?", "n/a", "na", "none", "null", "nil", "unknown
 
 def loose_key(value: Column) -> Column:
     """Letter case, quoting marks, brackets, blanks and underscores put aside; placeholders are null."""
-    key = F.regexp_replace(F.lower(value), r"[\s_\"'`´‘’“”\[\](){}<>]+", "")
-    return F.when(key.isin(*PLACEHOLDERS) | key.rlike(r"^[\p{Punct}]*$"), None).otherwise(key)
+    key = F.translate(F.lower(value), " \t\n\r\f\x0b_\"'`´‘’“”[](){}<>", "")
+    return F.when(key.isin(*PLACEHOLDERS) | (F.translate(key, string.punctuation, "") == ""), None).otherwise(key)
 
 
 def declared_place(declaration: Column) -> tuple[Column, Column]:
@@ -32,8 +34,9 @@ def hit_links(hits: DataFrame) -> DataFrame:
     """Star edges between hits that share a key within scan and signal."""
     line, name = declared_place(F.col("declaration"))
     hits = hits.where("hit_id IS NOT NULL AND scan_id IS NOT NULL AND signal_id IS NOT NULL")
-    path = relative_path(F.col("file_path"))
-    place = F.when(path.isNotNull() & line.isNotNull() & name.isNotNull(), F.concat_ws("\u0000", path, line.cast("string"), name))
+    hits = hits.select("hit_id", "scan_id", F.trim("signal_id").alias("signal_id"), "file_path", "hit_group", "group_column", line.alias("line"), name.alias("name"))
+    # null if any part is: only declared places need their path
+    place = F.when(F.col("line").isNotNull() & F.col("name").isNotNull(), F.concat(relative_path(F.col("file_path")), F.lit("\u0000"), F.col("line").cast("string"), F.lit("\u0000"), F.col("name")))
     keys = F.inline(
         F.array(
             F.struct(F.lit("group").alias("kind"), loose_key(F.col("hit_group")).alias("key")),
@@ -41,7 +44,7 @@ def hit_links(hits: DataFrame) -> DataFrame:
             F.struct(F.lit("place").alias("kind"), place.alias("key")),
         )
     )
-    members = hits.select("hit_id", "scan_id", F.trim("signal_id").alias("signal_id"), keys).where("key IS NOT NULL")
+    members = hits.select("hit_id", "scan_id", "signal_id", keys).where("key IS NOT NULL")
     return star_edges(members, "hit_id", ["scan_id", "signal_id", "kind", "key"])
 
 

@@ -5,8 +5,11 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from lumenveil.llm.groups import linked_groups, star_edges
+from pyspark.sql import functions as F
+
+from lumenveil.llm.groups import contract, linked_groups, star_edges
 from lumenveil.llm.pii_groups import P3_SQL, hit_links, loose_key, p3_found
+from lumenveil.workspace import Workspace
 
 
 def components(pairs):
@@ -82,3 +85,12 @@ def test_placeholders_match_nothing(spark, raw):
 
 def test_p3_against_sql(same_as_sql):
     assert same_as_sql(p3_found, P3_SQL)
+
+
+def test_hot_keys_and_vertices_give_the_same_groups(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i % 50}") for i in range(3_000)]
+    df = spark.createDataFrame(rows, "hit long, key string")
+    edges = star_edges(df, "hit", ["key"], hot=100)
+    ws = Workspace(spark, "hot")
+    groups = lambda found: {frozenset(r["m"]) for r in found.groupBy("root").agg(F.collect_set("member").alias("m")).collect()}
+    assert groups(contract(edges, ws, hot=100)) == groups(contract(star_edges(df, "hit", ["key"]), Workspace(spark, "cold")))
