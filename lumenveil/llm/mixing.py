@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,14 +74,19 @@ def token_counts(documents: DataFrame, rule: MixRule) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _below(rate: float, cap: int) -> list[float]:
+    """P(X = k) for k below the cap; in logarithms, so that no rate is too high."""
+    if rate <= 0:
+        return [1.0] + [0.0] * (cap - 1)
+    k = np.arange(cap)
+    factorials = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, cap)))])
+    return np.exp(k * math.log(rate) - rate - factorials).tolist()
+
+
 def capped_mean(rate: float, cap: int) -> float:
     """Mean of a Poisson distribution with parameter ``rate`` cut at ``cap``."""
-    p, total, below = math.exp(-rate), 0.0, 0.0
-    for k in range(cap):
-        total += k * p
-        below += p
-        p *= rate / (k + 1)
-    return total + cap * (1 - below)
+    p = _below(rate, cap)
+    return sum(k * q for k, q in enumerate(p)) + cap * max(0.0, 1 - sum(p))
 
 
 def parameter_for(mean: float, cap: int) -> float:
@@ -89,8 +95,10 @@ def parameter_for(mean: float, cap: int) -> float:
         return 0.0
     if mean >= cap * (1 - 1e-12):
         return math.inf
-    lo, hi = 0.0, 700.0
-    for _ in range(200):
+    lo, hi = 0.0, 2.0 * cap + 64.0
+    while capped_mean(hi, cap) < mean:
+        hi *= 2
+    for _ in range(100):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if capped_mean(mid, cap) < mean else (lo, mid)
     return (lo + hi) / 2
@@ -99,14 +107,7 @@ def parameter_for(mean: float, cap: int) -> float:
 def steps(mean: float, cap: int) -> list[float]:
     """P(X <= k) for k below the cap; a uniform number passes as many steps as its record gets copies."""
     rate = parameter_for(mean, cap)
-    if math.isinf(rate):
-        return [0.0] * cap
-    out, p, below = [], math.exp(-rate), 0.0
-    for k in range(cap):
-        below += p
-        out.append(below)
-        p *= rate / (k + 1)
-    return out
+    return [0.0] * cap if math.isinf(rate) else np.cumsum(_below(rate, cap)).tolist()
 
 
 def source_plan(available: DataFrame, targets: DataFrame, rule: MixRule) -> list[dict]:
@@ -140,22 +141,17 @@ def mixture(documents: DataFrame, targets: DataFrame, rule: MixRule = MixRule())
     ``copy`` counts a record's copies from 1; ``place`` is the hash that orders the mix, so partitions written in order are
     shuffled globally.  Defined cases: records of null or untargeted sources, without text, or of sources with share
     or cap zero are not drawn; a source without records gives nothing and its share goes to the others; records with the
-    same doc_id are drawn alike; empty tables give no rows.
+    same doc_id are drawn alike and each of their rows counts; empty tables give no rows.
     """
     ship_package(documents.sparkSession)
     ws = Workspace(documents.sparkSession, "mixing")
     counted = ws.put(token_counts(documents, rule))
     available = counted.where("tokens > 0").groupBy("source").agg(F.sum("tokens").alias("available"))
-    plan = [r for r in source_plan(available, targets, rule) if r["steps"]]
-    if not plan:
-        chances = F.array().cast("array<double>")
-    else:
-        chances = F.coalesce(
-            F.element_at(F.create_map(*[x for r in plan for x in (F.lit(r["source"]), F.array(*map(F.lit, r["steps"])))]), F.col("source")),
-            F.array().cast("array<double>"),
-        )
-    draw = counted.where("tokens > 0").withColumn("_u", uniform(F.col("doc_id"), rule.seed))
-    draw = draw.withColumn("_copies", F.size(F.filter(chances, lambda p: F.col("_u") >= p))).where("_copies > 0")
+    plan = [(r["source"], r["steps"]) for r in source_plan(available, targets, rule) if r["steps"]]
+    # one row per drawn source, with as many numbers as its cap
+    chances = counted.sparkSession.createDataFrame(plan, "source string, _steps array<double>")
+    draw = counted.where("tokens > 0").join(F.broadcast(chances), "source").withColumn("_u", uniform(F.col("doc_id"), rule.seed))
+    draw = draw.withColumn("_copies", F.size(F.filter("_steps", lambda p: F.col("_u") >= p))).where("_copies > 0")
     copies = draw.select("doc_id", F.explode(F.sequence(F.lit(1), "_copies")).alias("copy"), "source", "tokens", *rule.keep)
     placed = copies.withColumn("place", F.xxhash64("doc_id", "copy", F.lit(rule.seed + 1)))
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -78,3 +78,11 @@ def test_token_counts_are_of_whole_texts(spark):
     ship_package(spark)
     got = {r["doc_id"]: r["tokens"] for r in token_counts(docs(spark, [(i, t, "s") for i, t in texts.items()]), rule).collect()}
     assert got == {i: len(encoder.encode_ordinary(t)) if t else 0 for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("mean,cap", [(1000.0, 2000), (900.0, 5000), (0.5, 3), (1999.5, 2000)])
+def test_high_rates_reach_their_mean(mean, cap):
+    rate = parameter_for(mean, cap)
+    assert abs(capped_mean(rate, cap) - mean) < 1e-6 * mean
+    found = steps(mean, cap)
+    assert len(found) == cap and all(a <= b + 1e-12 for a, b in zip(found, found[1:]))
