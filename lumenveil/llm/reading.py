@@ -191,7 +191,7 @@ def word_ranks(features: DataFrame) -> DataFrame:
     return frequency.join(ranked, "n").select("word", "n", "rank")
 
 
-def coverage_ranks(features: DataFrame, ranks: DataFrame, rule: LevelRule) -> DataFrame:
+def coverage_ranks(features: DataFrame, ranks: DataFrame, rule: LevelRule, ws: Workspace) -> DataFrame:
     """``features`` with ``coverage_rank``, the smallest vocabulary covering ``rule.share`` of the words."""
     spark = features.sparkSession
     head = ranks.where(F.col("rank") <= rule.head).select("word", "rank").toArrow()
@@ -226,7 +226,7 @@ def coverage_ranks(features: DataFrame, ranks: DataFrame, rule: LevelRule) -> Da
             )
 
     columns = "doc_id long, english boolean, n_words int, sentence_log double, hard_share double"
-    mapped = features.mapInArrow(run, f"{columns}, coverage_rank long, rest array<long>")
+    mapped = ws.put(features.mapInArrow(run, f"{columns}, coverage_rank long, rest array<long>"))  # two branches read it
     # documents that need words beyond the head: exact, by a join on the words
     own = mapped.where("rest IS NOT NULL").select("doc_id", F.explode("rest").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("c"))
     placed = own.join(ranks.select("word", "rank"), "word", "left")
@@ -283,7 +283,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rule: LevelRule = Le
     ws = Workspace(documents.sparkSession, "reading")
     raw = ws.put(prose_features(documents, rule))
     ranks = ws.put(word_ranks(raw))
-    features = ws.put(coverage_ranks(raw, ranks, rule))
+    features = ws.put(coverage_ranks(raw, ranks, rule, ws))
     ws.drop(raw)
     level = calibrate(features, labels, rule)
     usable = F.col("english") & (F.col("n_words") >= rule.min_words) & F.col("coverage_rank").isNotNull()

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from lumenveil.workspace import Workspace
 from lumenveil.llm.reading import LevelRule, agreed_levels, coverage_ranks, p9_levels, prose, prose_features, reading_levels, word_ranks
 from lumenveil.shipping import ship_package
 
@@ -69,7 +70,7 @@ def test_coverage_rank_against_brute_force(spark):
     want = {i: sorted(rank[w] for w in ws)[math.ceil(rule.share * len(ws)) - 1] for i, ws in words.items()}
     for head in (65_536, 5):  # with the whole vocabulary in memory, and with the join for rarer words
         r = LevelRule(head=head)
-        got = {x["doc_id"]: x["coverage_rank"] for x in coverage_ranks(features, word_ranks(features), r).collect()}
+        got = {x["doc_id"]: x["coverage_rank"] for x in coverage_ranks(features, word_ranks(features), r, Workspace(spark, "t")).collect()}
         assert got == want
 
 
