@@ -10,7 +10,7 @@ from lumenveil.functions.conditions import apply_rules
 from lumenveil.functions.lines import exploded_lines
 from lumenveil.functions.text import micros
 from lumenveil.operators.windows import enclosing_header, top_per_group
-from lumenveil.plans.code_queries import FILES_SQL, files, lines
+from lumenveil.plans.code_queries import FILES_SQL, ROW, delivered_files, delivered_lines, from_current
 from lumenveil.shipping import ship_package
 from lumenveil.tables import table
 
@@ -33,18 +33,17 @@ _COLUMN = [
 
 def stored_columns(spark: SparkSession, folder: str) -> DataFrame:
     """Declared columns with the model whose header stands above them, by file and line."""
-    rows = lines(spark, folder)
     header = F.lit("")
     for language, pattern in _MODEL.items():
         groups = [F.nullif(F.regexp_extract("line", pattern, g), F.lit("")) for g in range(1, 1 + pattern.count("(\\w+)"))]
         header = F.when(F.col("language") == language, F.coalesce(*groups, F.lit(""))).otherwise(header)
-    placed = enclosing_header(rows, ["file_id"], header)
     found = []
     for language, evidence, pattern in _COLUMN:
         name = F.regexp_extract("line", pattern, 1)
         found.append(F.when((F.col("language") == language) & (name != ""), F.struct(F.lit(evidence).alias("evidence"), name.alias("column"))))
-    hits = placed.select("file_id", "line_no", F.col("header").alias("model"), F.inline(F.array_compact(F.array(*found))))
-    return hits
+    marks = delivered_lines(spark, folder).select("file_id", "line_no", *ROW, header.alias("name"), F.array_compact(F.array(*found)).alias("found"))
+    placed = enclosing_header(from_current(marks.where("name <> '' OR size(found) > 0"), spark, folder), ["file_id"], F.col("name"))
+    return placed.select("file_id", "line_no", F.col("header").alias("model"), F.inline("found"))
 
 
 def _model_sql() -> str:
@@ -79,8 +78,8 @@ _CALL = r"(?:^|[^\w.])(?:await\s+|new\s+)?(\w+)\("
 
 
 def definitions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = lines(spark, folder).withColumn("name", F.regexp_extract("line", _DEFINITION, 1)).where("name <> ''")
-    return rows.select("scan_id", "path", "file_id", "line_no", "name")
+    rows = delivered_lines(spark, folder).select("scan_id", "path", "file_id", "line_no", *ROW, F.regexp_extract("line", _DEFINITION, 1).alias("name"))
+    return from_current(rows.where("name <> ''"), spark, folder)
 
 
 def unique_definitions(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,8 +118,9 @@ SELECT scan_id, name, path, line_no, shared, row_number() OVER (PARTITION BY sca
 
 def call_links(spark: SparkSession, folder: str) -> DataFrame:
     """Calls by bare name linked to the function a scan defines under that name exactly once, counted per function."""
-    rows = lines(spark, folder).select("scan_id", F.explode(F.regexp_extract_all("line", F.lit(_CALL), F.lit(1))).alias("name"))
-    calls = rows.groupBy("scan_id", "name").agg(F.count("*").alias("mentions"))
+    rows = delivered_lines(spark, folder).select("scan_id", *ROW, F.explode(F.regexp_extract_all("line", F.lit(_CALL), F.lit(1))).alias("name"))
+    rows = from_current(rows.groupBy("scan_id", "name", *ROW).agg(F.count("*").alias("n")), spark, folder)
+    calls = rows.groupBy("scan_id", "name").agg(F.sum("n").alias("mentions"))
     return unique_definitions(spark, folder).join(calls, ["scan_id", "name"]).select("scan_id", "name", "path", "line_no", "mentions")
 
 
@@ -135,12 +135,11 @@ SELECT u.scan_id, u.name, u.path, u.line_no, c.mentions FROM u JOIN c USING (sca
 def code_without_comments(spark: SparkSession, folder: str) -> DataFrame:
     """Code lines per file once comments are blanked, beside all lines."""
     ship_package(spark)
-    f = files(spark, folder)
-    bare = f.select("file_id", "language", without_comments(F.col("content"), F.col("language")).alias("content"))
-    counted = exploded_lines(bare, ["file_id", "language"]).groupBy("file_id", "language").agg(
+    bare = delivered_files(spark, folder).select("file_id", "language", *ROW, without_comments(F.col("content"), F.col("language")).alias("content"))
+    counted = exploded_lines(bare, ["file_id", "language", *ROW]).groupBy("file_id", "language", *ROW).agg(
         F.count("*").alias("lines"), F.count_if(F.trim("line") != "").alias("code_lines")
     )
-    return counted
+    return from_current(counted, spark, folder)
 
 
 def component_population(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,14 +14,39 @@ from lumenveil.operators.windows import context_counts, enclosing_header, runnin
 from lumenveil.plans.general_queries import PATH_SQL
 from lumenveil.sources.rules import BARE_MAIL, CODE_SHAPES, PERSONAL_DATA_RULES, rule_hits, shape_hits
 from lumenveil.tables import table
+from lumenveil.workspace import Workspace
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per file_id with its language in one spelling."""
+ROW = ["_file", "_row"]  # where a delivered row stands in the table
+
+
+def delivered_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every delivered row with its language in one spelling and its place in the table."""
+    return table(spark, folder, "source_files").select(
+        "file_id", "scan_id", "repo", relative_path(F.col("path")).alias("path"), F.lower(F.trim("language")).alias("language"), "content",
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"),
+    )
+
+
+def file_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per file_id, the last ingested, without its text: ids, path, language and place."""
     rows = table(spark, folder, "source_files").select(
-        "file_id", "scan_id", "repo", relative_path(F.col("path")).alias("path"), F.lower(F.trim("language")).alias("language"), "content", "ingested_at"
-    )
-    return latest(rows, ["file_id"], ["ingested_at"]).drop("ingested_at")
+        "file_id", "scan_id", "repo", relative_path(F.col("path")).alias("path"), F.lower(F.trim("language")).alias("language"), "ingested_at",
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"),
+    )
+    return latest(rows, ["file_id"], ["ingested_at", *ROW]).drop("ingested_at")
+
+
+def from_current(found: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """What was taken from delivered rows, of each file's last row only.
+
+    Texts are read where they lie; superseded rows are dropped from what was found in them, so no text is shuffled.
+    """
+    return found.join(file_heads(spark, folder).select(*ROW), ROW, "left_semi").drop(*ROW)
+
+
+def delivered_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return exploded_lines(delivered_files(spark, folder), ["file_id", "scan_id", "repo", "path", "language", *ROW])
 
 
 FILES_SQL = f"""
@@ -34,17 +59,14 @@ lines AS (
 """
 
 
-def lines(spark: SparkSession, folder: str) -> DataFrame:
-    return exploded_lines(files(spark, folder), ["file_id", "scan_id", "repo", "path", "language"])
-
-
 def lines_by_language(spark: SparkSession, folder: str) -> DataFrame:
-    rows = lines(spark, folder)
+    line = F.col("line")
+    per_file = delivered_lines(spark, folder).groupBy("language", "file_id", *ROW).agg(
+        F.count("*").alias("lines"), F.count_if(F.trim("line") == "").alias("blank"), F.count_if(is_comment_only(line)).alias("comments")
+    )
+    rows = from_current(per_file, spark, folder)
     return rows.groupBy("language").agg(
-        F.count_distinct("file_id").alias("files"),
-        F.count("*").alias("lines"),
-        F.count_if(F.trim("line") == "").alias("blank"),
-        F.count_if(is_comment_only(F.col("line"))).alias("comments"),
+        F.count_distinct("file_id").alias("files"), F.sum("lines").alias("lines"), F.sum("blank").alias("blank"), F.sum("comments").alias("comments")
     )
 
 
@@ -56,7 +78,7 @@ SELECT language, count(DISTINCT file_id) AS files, count(*) AS lines, count_if(t
 
 def personal_data_hits(spark: SparkSession, folder: str) -> DataFrame:
     """One row per rule and line it matches."""
-    return lines(spark, folder).select("file_id", "line_no", F.inline(rule_hits(F.col("line"))))
+    return from_current(delivered_lines(spark, folder).select("file_id", "line_no", *ROW, F.inline(rule_hits(F.col("line")))), spark, folder)
 
 
 def _rules_sql() -> str:
@@ -76,7 +98,7 @@ HITS = FILES_SQL + _rules_sql() + "\nSELECT file_id, line_no, rule_id, category,
 
 def personal_data_items(spark: SparkSession, folder: str) -> DataFrame:
     """Hits rolled up to one data item per rule."""
-    hits = lines(spark, folder).select("file_id", "repo", "line_no", F.inline(rule_hits(F.col("line"))))
+    hits = from_current(delivered_lines(spark, folder).select("file_id", "repo", "line_no", *ROW, F.inline(rule_hits(F.col("line")))), spark, folder)
     return hits.groupBy("rule_id", "category").agg(
         F.concat(F.lit("data_item:"), F.first("rule_id")).alias("item_key"),
         F.count("*").alias("occurrences"),
@@ -94,7 +116,7 @@ SELECT rule_id, category, 'data_item:' || rule_id AS item_key, count(*) AS occur
 
 def code_shapes(spark: SparkSession, folder: str) -> DataFrame:
     """Routes, database accesses, imports and log calls by line."""
-    return lines(spark, folder).select("file_id", "line_no", F.inline(shape_hits(F.col("line"), F.col("language"))))
+    return from_current(delivered_lines(spark, folder).select("file_id", "line_no", *ROW, F.inline(shape_hits(F.col("line"), F.col("language")))), spark, folder)
 
 
 SHAPES = (
@@ -110,9 +132,10 @@ SHAPES = (
 
 def identifier_words(spark: SparkSession, folder: str) -> DataFrame:
     """How often each word occurs in the identifiers of each language."""
-    tokens = lines(spark, folder).select("language", F.explode(identifier_tokens(F.col("line"))).alias("token"))
+    tokens = delivered_lines(spark, folder).select("language", *ROW, F.explode(identifier_tokens(F.col("line"))).alias("token"))
+    tokens = from_current(tokens.groupBy("language", "token", *ROW).agg(F.count("*").alias("n")), spark, folder)
     # identical identifiers are counted before they are split
-    counted = tokens.groupBy("language", "token").agg(F.count("*").alias("n"))
+    counted = tokens.groupBy("language", "token").agg(F.sum("n").alias("n"))
     return counted.select("language", F.explode(camel_parts(F.col("token"))).alias("word"), "n").groupBy("language", "word").agg(F.sum("n").alias("n"))
 
 
@@ -129,9 +152,12 @@ _HEADER = r"^\s*(?:export\s+)?(?:default\s+)?(?:public\s+|private\s+|static\s+|a
 
 def enclosing_scopes(spark: SparkSession, folder: str) -> DataFrame:
     """For every line a personal-data rule matches, the nearest function or class header above it and its nesting depth."""
-    rows = enclosing_header(lines(spark, folder), ["file_id"], F.regexp_extract("line", _HEADER, 1))
-    rows = running_depth(rows, ["file_id"], brace_delta(F.col("line")))
-    return rows.where(F.size(rule_hits(F.col("line"))) > 0).select("file_id", "line_no", "header_line", "header", F.col("depth").cast("int").alias("depth"))
+    line = F.col("line")
+    marks = delivered_lines(spark, folder).select(
+        "file_id", "line_no", *ROW, F.regexp_extract(line, _HEADER, 1).alias("name"), brace_delta(line).alias("delta"), (F.size(rule_hits(line)) > 0).alias("hit")
+    )
+    rows = enclosing_header(from_current(marks, spark, folder), ["file_id"], F.col("name"))
+    return running_depth(rows, ["file_id"], F.col("delta")).where("hit").select("file_id", "line_no", "header_line", "header", F.col("depth").cast("int").alias("depth"))
 
 
 SCOPES = FILES_SQL + _rules_sql() + rf"""
@@ -148,8 +174,8 @@ SELECT r.file_id, r.line_no, header_line, header, depth::INT AS depth FROM r SEM
 
 def context_density(spark: SparkSession, folder: str) -> DataFrame:
     """Per file, how dense personal data gets: the most matching lines within 15 lines of any matching line."""
-    rows = lines(spark, folder).withColumn("hit", F.size(rule_hits(F.col("line"))) > 0)
-    near = context_counts(rows.select("file_id", "line_no", "hit"), ["file_id"], F.col("hit"))
+    rows = from_current(delivered_lines(spark, folder).select("file_id", "line_no", *ROW, (F.size(rule_hits(F.col("line"))) > 0).alias("hit")), spark, folder)
+    near = context_counts(rows, ["file_id"], F.col("hit"))
     return near.where("hit").groupBy("file_id").agg(F.max("nearby").alias("densest"), F.count("*").alias("hit_lines"))
 
 
@@ -162,10 +188,11 @@ SELECT file_id, max(nearby)::BIGINT AS densest, count(*) AS hit_lines FROM n WHE
 
 def import_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Relative imports resolved to files of the same scan: the import graph."""
-    known = files(spark, folder).select("scan_id", "path", "language")
-    source = lines(spark, folder).where(F.col("language").isin("typescript", "javascript"))
+    known = file_heads(spark, folder).select("scan_id", "path", "language")
+    source = delivered_lines(spark, folder).where(F.col("language").isin("typescript", "javascript"))
     spec = F.regexp_extract("line", r"(?:from\s+|require\(\s*)[\"'](\.{1,2}/[^\"']+)[\"']", 1)
-    wanted = source.select("scan_id", "path", spec.alias("spec")).where("spec <> ''").dropDuplicates()
+    wanted = from_current(source.select("scan_id", "path", *ROW, spec.alias("spec")).where("spec <> ''"), spark, folder).dropDuplicates()
+    wanted = Workspace(spark, "imports").put(wanted)  # read twice below, while the texts are read once
     folder_of = F.regexp_replace("path", "/?[^/]*$", "")
     target = relative_path(F.concat_ws("/", folder_of, F.col("spec")))
     tried = F.explode(F.array(*[F.concat(target, F.lit(e)) for e in ("", ".ts", ".js", "/index.ts", "/index.js")]))
@@ -187,7 +214,7 @@ SELECT t.scan_id, t.path, t.spec, (SELECT min_by(target, length(target)) FROM h
 def locked_packages(spark: SparkSession, folder: str) -> DataFrame:
     """Packages pinned by lock files, from both JSON and YAML forms, with how many repositories pin each version."""
     name = F.regexp_extract("path", "([^/]+)$", 1)
-    locks = files(spark, folder).where(name.isin("package-lock.json", "pnpm-lock.yaml")).select("repo", "path", "content")
+    locks = delivered_files(spark, folder).where(name.isin("package-lock.json", "pnpm-lock.yaml"))
     json_form = F.transform(
         F.regexp_extract_all("content", F.lit(r"\"node_modules/([^\"]+)\":\s*\{\s*\"version\":\s*\"([^\"]+)\""), F.lit(0)),
         lambda m: F.struct(F.regexp_extract(m, r"node_modules/([^\"]+)\"", 1).alias("package"), F.regexp_extract(m, r"\"version\":\s*\"([^\"]+)\"", 1).alias("version")),
@@ -196,7 +223,7 @@ def locked_packages(spark: SparkSession, folder: str) -> DataFrame:
         F.regexp_extract_all("content", F.lit(r"(?m)^  (@?[\w./-]+@\d[\w.+-]*):"), F.lit(1)),
         lambda m: F.struct(F.regexp_extract(m, "^(.+)@[^@]+$", 1).alias("package"), F.regexp_extract(m, "@([^@]+)$", 1).alias("version")),
     )
-    found = locks.select("repo", F.inline(F.when(F.col("path").endswith(".json"), json_form).otherwise(yaml_form)))
+    found = from_current(locks.select("repo", *ROW, F.inline(F.when(F.col("path").endswith(".json"), json_form).otherwise(yaml_form))), spark, folder)
     return found.groupBy("package", "version").agg(F.count_distinct("repo").alias("repos"))
 
 
@@ -241,7 +268,7 @@ FROM listed l LEFT JOIN s ON s.scan_id = l.scan_id AND (s.dir = '' OR starts_wit
 def unread_paths(spark: SparkSession, folder: str) -> DataFrame:
     """Listed paths without a source row, counted per section role and file ending (anti-join)."""
     listed = listed_paths(spark, folder)
-    absent = listed.join(files(spark, folder).select("scan_id", "path"), ["scan_id", "path"], "left_anti")
+    absent = listed.join(file_heads(spark, folder).select("scan_id", "path"), ["scan_id", "path"], "left_anti")
     return absent.groupBy(F.regexp_extract("path", r"\.([^./]+)$", 1).alias("ending")).agg(F.count("*").alias("paths"), F.count_distinct("scan_id").alias("scans"))
 
 
