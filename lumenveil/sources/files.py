@@ -109,12 +109,12 @@ def ignored_paths(paths: DataFrame, rules: DataFrame) -> DataFrame:
     return paths.join(last, "path", "left").withColumn("ignored", F.coalesce("ignored", F.lit(False)))
 
 
-def path_outcomes(listing: DataFrame, exclude: list[str] | None = None, max_files: int = 20_000, max_total: int = 200 * 1024 * 1024) -> DataFrame:
+def path_outcomes(listing: DataFrame, exclude: list[str] | None = None, max_files: int = 20_000, max_total: int = 200 * 1024 * 1024, scope: list[str] | None = None) -> DataFrame:
     """``listing(path, size)`` with language and ``reason``: the first that applies, ``successfully_processed`` for files to read.
 
     ``ignored`` (as :func:`ignored_paths` gives it) is used where the listing has it.
 
-    Budgets: files beyond ``max_files`` in path order, and files whose running size in path order passes ``max_total``.
+    Budgets hold within each value of ``scope`` (one scan): files beyond ``max_files`` in path order, and files whose running size in path order passes ``max_total``.
     """
     patterns = [glob_regex(p) for p in exclude or []]
     excluded = reduce(lambda a, b: a | b, [F.col("path").rlike(p) for p in patterns], F.lit(False))
@@ -129,7 +129,7 @@ def path_outcomes(listing: DataFrame, exclude: list[str] | None = None, max_file
         .when(F.col("size") > MAX_FILE_BYTES, "file_too_large")
     )
     rows = rows.withColumn("_first", reason)
-    w = Window.partitionBy(F.col("_first").isNull()).orderBy("path")
+    w = Window.partitionBy(*(scope or []), F.col("_first").isNull()).orderBy("path")
     budgeted = rows.withColumn("_n", F.row_number().over(w)).withColumn("_sum", F.sum("size").over(w))
     late = F.when(F.col("_n") > max_files, "file_count_cap_reached").when(F.col("_sum") > max_total, "total_byte_cap_reached").otherwise("successfully_processed")
     return budgeted.withColumn("reason", F.coalesce("_first", late)).drop("_first", "_n", "_sum")
