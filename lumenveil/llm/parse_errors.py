@@ -151,7 +151,8 @@ def repairs(sources: DataFrame) -> DataFrame:
                 ["language", "digest", "cost", "at_least", "kind", "parses_as", "lines"],
             )
 
-    texts = judged.where("broken").groupBy("language", "digest").agg(F.any_value("content").alias("content"))
+    wanted = broken.select("language", "digest").dropDuplicates()
+    texts = judged.where("broken").join(wanted, ["language", "digest"], "left_semi").groupBy("language", "digest").agg(F.any_value("content").alias("content"))
     found = texts.select("language", "digest", "content").mapInArrow(
         run, "language string, digest binary, cost int, at_least boolean, kind string, parses_as string, lines array<int>"
     )
